@@ -56,12 +56,13 @@ def _named(keys) -> dict[str, Column]:
 
 
 def group_by(df: DataFrame, keys=None, aggs: dict[str, Column] | None = None,
-             percentiles: dict[str, tuple[Column, float]] | None = None,
+             percentiles: dict[str, tuple] | None = None,
              ci: tuple[str, ...] = (), having: Column | None = None) -> DataFrame:
     """Group on expressions; keys lead the result, a null key is a group.
 
     Keys named in ``ci`` group without regard to case and show their smallest spelling.
-    Percentiles take the distributed path of :func:`nearest_rank` and are joined on the keys.
+    Percentiles, as ``(value, p)`` or ``(value, p, count)`` for counted buckets, take the
+    distributed path of :func:`nearest_rank` and are joined on the keys.
     """
     keys, aggs = _named(keys), dict(aggs or {})
     folded = [k for k in keys if k in ci]
@@ -78,11 +79,12 @@ def group_by(df: DataFrame, keys=None, aggs: dict[str, Column] | None = None,
     else:
         result = None
 
-    by_value: dict[str, tuple[Column, dict[str, float]]] = {}
-    for name, (value, p) in (percentiles or {}).items():
-        by_value.setdefault(str(value), (value, {}))[1][name] = p
-    for value, wanted in by_value.values():
-        ranks = nearest_rank(staged, names, value, wanted)
+    by_value: dict[str, tuple[Column, Column | None, dict[str, float]]] = {}
+    for name, (value, p, *count) in (percentiles or {}).items():
+        weight = count[0] if count else None
+        by_value.setdefault(f"{value} {weight}", (value, weight, {}))[2][name] = p
+    for value, weight, wanted in by_value.values():
+        ranks = nearest_rank(staged, names, value, wanted, weight)
         result = ranks if result is None else _left_on(result, ranks, names)
 
     result = result.select(*keys, *aggs, *(percentiles or {}))
@@ -107,7 +109,7 @@ def slice_start(ts: Column, every, start=None) -> Column:
 
 
 def time_slices(df: DataFrame, every, start=None, end=None, by=None, aggs: dict[str, Column] | None = None,
-                percentiles: dict[str, tuple[Column, float]] | None = None, ci: tuple[str, ...] = (),
+                percentiles: dict[str, tuple] | None = None, ci: tuple[str, ...] = (),
                 having: Column | None = None, fill: bool = False, ts: str = "ts") -> DataFrame:
     """Group by time alone or with more keys: keys, then ``time``, then measures.
 
