@@ -36,7 +36,7 @@ def clef_line(df: DataFrame) -> Column:
     def instant(name):
         return F.date_format(F.col(name), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'") if name in have else F.lit(None).cast("string")
 
-    definitions = F.to_variant_object(F.col("definitions")) if "definitions" in have else F.lit(None).cast("variant")
+    definitions = F.parse_json(F.to_json("definitions")) if "definitions" in have else F.lit(None).cast("variant")
     sample = definitions.isNotNull()
     level = F.when(text("level") != "Information", text("level"))
     template = F.coalesce(text("message_template"), text("message"))
