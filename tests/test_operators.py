@@ -217,7 +217,7 @@ def test_deletion_from_a_table(spark, tmp_path):
     assert sorted(r.value for r in left.collect()) == [0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0]
     assert lifecycle.delete_from_table(spark, path, end="2024-01-02") == 3
     assert {str(r.event_date) for r in spark.read.parquet(path).collect()} == {"2024-01-02", "2024-01-03", "2024-01-04"}
-    gone = lifecycle.retain_in_table(spark, path, [lifecycle.RetentionPolicy("1d", Signal("x", F.col("value") < 7))], dt.datetime(2024, 1, 4))
+    gone = lifecycle.retain_in_table(spark, path, [lifecycle.RetentionPolicy("1d", Signal("x", F.col("value") < 7))], dt.datetime(2024, 1, 4, 1))
     assert gone == 2 and sorted(r.value for r in spark.read.parquet(path).collect()) == [8.0, 10.0]
     assert lifecycle.delete_from_table(spark, path, F.col("value") > 1e9) == 0
 
