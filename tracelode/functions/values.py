@@ -9,12 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# Which Spark types a value of each dynamic type may be stored as inside a variant.
-_STORED = {
-    "number": r"\A(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)\z",
-    "string": r"\ASTRING\z",
-    "boolean": r"\ABOOLEAN\z",
-}
+_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+
+
+def _stored_as(shape: Column, kind: str) -> Column:
+    """Whether a variant of this schema holds a value of a dynamic type."""
+    if kind == "number":
+        return shape.isin(*_NUMBERS) | shape.startswith("DECIMAL(")
+    return shape == kind.upper()
+
+
 _KIND_OF = {
     "string": "string", "boolean": "boolean",
     "double": "number", "float": "number", "bigint": "number", "int": "number", "long": "number",
@@ -44,10 +48,10 @@ def prop(path: str, kind: str = "string", source: str | Column = "properties", s
     """
     column = F.col(source) if isinstance(source, str) else source
     typed = F.try_variant_get(column, json_path(path, literal), kind)
-    stored = _STORED.get(_KIND_OF.get(kind.lower(), "")) if strict else None
-    if stored is None:
+    dynamic = _KIND_OF.get(kind.lower()) if strict else None
+    if dynamic is None:
         return typed
-    return F.when(F.schema_of_variant(member(column, path, literal)).rlike(stored), typed)
+    return F.when(_stored_as(F.schema_of_variant(member(column, path, literal)), dynamic), typed)
 
 
 def has(value: Column) -> Column:
@@ -76,7 +80,7 @@ def type_of(value: Column) -> Column:
             .when(shape == "BOOLEAN", "boolean")
             .when(shape.startswith("ARRAY<"), "array")
             .when(shape.startswith("OBJECT<"), "object")
-            .when(shape.rlike(_STORED["number"]), "number")
+            .when(_stored_as(shape, "number"), "number")
             .otherwise("string"))
 
 
@@ -110,7 +114,7 @@ def element_at(collection: Column, index, ci: bool = False) -> Column:
 
 def as_object(value: Column) -> Column:
     """A variant object as a map of variants, ``NULL`` for other values."""
-    return F.when(F.schema_of_variant(value).startswith("OBJECT<"), value.try_cast("map<string,variant>"))
+    return value.try_cast("map<string,variant>")
 
 
 def keys_of(value: Column, variant: bool = False) -> Column:

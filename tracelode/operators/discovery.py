@@ -16,14 +16,15 @@ PLACES = (("properties", "@Properties", True), ("scope", "@Scope", False), ("res
 
 def _paths(value: Column, prefix: Column, optional: bool, depth: int, max_depth: int) -> Column:
     """Array of the accessor paths below a variant, as one expression over the row."""
-    def one(entry):
-        here = accessor(prefix, entry["key"], optional)
-        if depth == max_depth:
-            return F.array(here)
-        return F.concat(F.array(here), _paths(entry["value"], here, False, depth + 1, max_depth))
-
-    nested = F.flatten(F.transform(F.map_entries(as_object(value)), one))
-    return F.coalesce(nested, F.array().cast("array<string>"))
+    entries = F.map_entries(as_object(value))
+    if depth == max_depth:
+        found = F.transform(entries, lambda e: accessor(prefix, e["key"], optional))
+    else:
+        # The path so far is bound to a variable, else it would be spelled out again at each level.
+        named = F.transform(entries, lambda e: F.struct(accessor(prefix, e["key"], optional).alias("path"), e["value"].alias("value")))
+        found = F.flatten(F.transform(named, lambda e: F.concat(
+            F.array(e["path"]), _paths(e["value"], e["path"], False, depth + 1, max_depth))))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def property_paths(df: DataFrame, max_depth: int = MAX_PATH_DEPTH) -> DataFrame:

@@ -165,19 +165,22 @@ def clean_hex(value: Column, width: int) -> Column:
 
 def render_messages(df: DataFrame, template: str = "message_template", properties: str = "properties") -> DataFrame:
     """Fills ``message`` from the template and the properties."""
-    values = F.transform_values(as_object(F.col(properties)), lambda _, x: x.try_cast("string"))
-    return df.withColumn("message", render_template(F.col(template), values))
+    staged = df.withColumn("_values", as_object(F.col(properties)))
+    return staged.withColumn("message", render_template(F.col(template), F.col("_values"))).drop("_values")
 
 
 def render_template(template: Column, values: Column) -> Column:
-    """Replaces ``{Name}`` holes by values; an unknown hole keeps its text, doubled braces are literal."""
+    """Replaces ``{Name}`` holes by the values of a map of variants.
+
+    An unknown hole keeps its text, doubled braces are literal.
+    """
     tokens = F.regexp_extract_all(template, F.lit(r"(\{\{|\}\}|\{[^{}]+\}|[^{}]+|[{}])"), F.lit(1))
 
     def text_of(token):
         name = F.regexp_extract(token, r"\A\{[@$]?([^,:{}]+)", 1)
         return (F.when(token == "{{", F.lit("{")).when(token == "}}", F.lit("}"))
                 .when(F.startswith(token, F.lit("{")) & (F.length(token) > 1),
-                      F.coalesce(F.try_element_at(values, name), token))
+                      F.coalesce(F.try_element_at(values, name).try_cast("string"), token))
                 .otherwise(token))
 
     return F.when(template.isNotNull(), F.array_join(F.transform(tokens, text_of), ""))

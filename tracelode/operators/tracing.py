@@ -38,23 +38,28 @@ def trace_tree(spans: DataFrame, path_column: str = "span_id") -> DataFrame:
              .select("trace_id", "span_id", F.when(F.col("_known"), F.col("parent_id")).alias("_up"),
                      F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).alias("depth"),
                      F.array("_label").alias("_path")))
+    # Only spans that still move are written again; those that have arrived stay where they are.
     state = cut_lineage(state)
-    pending = state.where(F.col("_up").isNotNull()).count()
+    moving, arrived = state.where(F.col("_up").isNotNull()), state.where(F.col("_up").isNull())
+    pending = moving.count()
     while pending:
-        target = state.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
-                              F.col("depth").alias("_more"), F.col("_path").alias("_prefix"))
-        open_, done = state.where(F.col("_up").isNotNull()), state.where(F.col("_up").isNull())
-        jumped = (open_.join(target, (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s")))
+        target = moving.unionByName(arrived).select(
+            F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
+            F.col("depth").alias("_more"), F.col("_path").alias("_prefix"))
+        jumped = (moving.join(target, (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s")))
                   .select("trace_id", "span_id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"),
                           F.concat("_prefix", "_path").alias("_path")))
-        state = cut_lineage(jumped.unionByName(done))
-        left = state.where(F.col("_up").isNotNull()).count()
+        jumped = cut_lineage(jumped)
+        moving = jumped.where(F.col("_up").isNotNull())
+        arrived = arrived.unionByName(jumped.where(F.col("_up").isNull()))
+        left = moving.count()
         if left == pending:
             break
         pending = left
     cyclic = F.col("_up").isNotNull()
-    return state.select("trace_id", "span_id", F.when(~cyclic, F.col("depth")).alias("depth"),
-                        F.when(~cyclic, F.array_join("_path", "/")).alias("path"))
+    return moving.unionByName(arrived).select(
+        "trace_id", "span_id", F.when(~cyclic, F.col("depth")).alias("depth"),
+        F.when(~cyclic, F.array_join("_path", "/")).alias("path"))
 
 
 def latency_by_service(spans: DataFrame, by="service", p: float = 95, min_count: int = 50, limit: int = 100) -> DataFrame:

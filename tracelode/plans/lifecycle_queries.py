@@ -14,7 +14,7 @@ from .views import STREAM_SQL
 
 @query("property_paths", """SELECT unnest(['Detail', 'Detail.Origin', 'Detail.Origin.Kind', 'Detail.k', 'Items', 'event_type', 'user_id', 'value']) AS path""")
 def property_paths(t):
-    return discovery.property_paths(t.stream)
+    return discovery.property_paths(t.spread_stream)
 
 
 @query("property_paths_from_names", """SELECT path FROM (
@@ -28,7 +28,7 @@ def property_paths_from_names(t):
 
 @query("available_properties", "SELECT unnest(['Detail', 'Items', 'event_type', 'user_id', 'value']) AS name")
 def available_properties(t):
-    return discovery.available_properties(t.stream)
+    return discovery.available_properties(t.spread_stream)
 
 
 @query("space_by_template", """SELECT count(*) AS occurrences, CAST(sum(length('{"id":"' || id || '","message_template":"' || message_template || '","level":"' || level

@@ -24,29 +24,45 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows go through much work. A small one, stored as a single split, is dealt
+        out over the cores first; tables with splits enough are read as they are."""
+        scan = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 < cores else scan
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events")
 
+    @cached_property
+    def spread_events(self) -> DataFrame:
+        return self.events if self.events.isStreaming else self.spread("events")
+
     @cached_property
     def stream(self) -> DataFrame:
         return stream_view(self.events)
 
+    @cached_property
+    def spread_stream(self) -> DataFrame:
+        """``stream`` for queries that take its properties apart."""
+        return stream_view(self.spread_events)
+
     @cached_property
     def spans(self) -> DataFrame:
         nation, customer, orders = self.table("nation"), self.table("customer"), self.table("orders")
-        lineitem = self.table("lineitem")
-        trace = F.format_string("%032x", F.col("n") + 1)
+        lineitem = self.spread("lineitem")
+        trace = hex_id(F.col("n") + 1, 32)
         epoch = F.lit("1995-01-01").cast("timestamp")
         roots = nation.select(
-            F.format_string("%032x", F.col("n_nationkey") + 1).alias("trace_id"),
-            F.format_string("a%015x", "n_nationkey").alias("span_id"),
+            hex_id(F.col("n_nationkey") + 1, 32).alias("trace_id"),
+            hex_id("n_nationkey", 15, "a").alias("span_id"),
             F.lit(None).cast("string").alias("parent_id"), epoch.alias("start"),
             F.lit(220_000_000_000_000).cast("bigint").alias("elapsed_us"), F.lit("gateway").alias("service"),
             F.col("n_name").alias("message"), F.lit("Server").alias("span_kind"))
         people = customer.withColumn("n", F.col("c_nationkey")).select(
-            trace.alias("trace_id"), F.format_string("b%015x", "c_custkey").alias("span_id"),
-            F.format_string("a%015x", "c_nationkey").alias("parent_id"),
+            trace.alias("trace_id"), hex_id("c_custkey", 15, "b").alias("span_id"),
+            hex_id("c_nationkey", 15, "a").alias("parent_id"),
             F.timestamp_micros(F.unix_micros(epoch) + F.col("c_custkey") * 1_000_000).alias("start"),
             F.round(F.abs("c_acctbal") * 1000).cast("bigint").alias("elapsed_us"),
             F.col("c_mktsegment").alias("service"), F.col("c_name").alias("message"),
@@ -54,8 +70,8 @@ class Tables:
         placed = orders.join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n")),
                              "o_custkey")
         calls = placed.select(
-            trace.alias("trace_id"), F.format_string("c%015x", "o_orderkey").alias("span_id"),
-            F.format_string("b%015x", "o_custkey").alias("parent_id"),
+            trace.alias("trace_id"), hex_id("o_orderkey", 15, "c").alias("span_id"),
+            hex_id("o_custkey", 15, "b").alias("parent_id"),
             F.col("o_orderdate").cast("timestamp").alias("start"),
             F.round(F.col("o_totalprice") * 1000).cast("bigint").alias("elapsed_us"),
             F.col("o_orderpriority").alias("service"), F.lit("place order").alias("message"),
@@ -63,7 +79,7 @@ class Tables:
         steps = lineitem.join(placed.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "n"),
                               "l_orderkey").select(
             trace.alias("trace_id"), line_span_id().alias("span_id"),
-            F.format_string("c%015x", "l_orderkey").alias("parent_id"),
+            hex_id("l_orderkey", 15, "c").alias("parent_id"),
             F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp"))
                                + F.col("l_linenumber") * 1_000_000).alias("start"),
             F.round(F.col("l_quantity") * 60_000_000).cast("bigint").alias("elapsed_us"),
@@ -77,8 +93,8 @@ class Tables:
         """Log events recorded inside the customer spans."""
         owner = self.table("customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
         return (self.stream.join(owner, "user_id")
-                .withColumn("trace_id", F.format_string("%032x", F.col("c_nationkey") + 1))
-                .withColumn("span_id", F.format_string("b%015x", "user_id")).drop("c_nationkey"))
+                .withColumn("trace_id", hex_id(F.col("c_nationkey") + 1, 32))
+                .withColumn("span_id", hex_id("user_id", 15, "b")).drop("c_nationkey"))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -133,7 +149,7 @@ class Tables:
                         F.lit(" did "), F.col("event_type"), F.lit(" at "), F.col("value").cast("decimal(12,2)").cast("string"))
         trace = F.concat(F.lit("\nTimeoutError: user "), F.col("user_id").cast("string"),
                          F.lit("\n   at step "), F.get_json_object("props", "$.k"))
-        return self.events.select(
+        return self.spread_events.select(
             "event_id", F.when(F.col("event_type").isin("click", "view"), "web").otherwise("app").alias("source"),
             F.concat(head, F.when(F.col("event_type") == "error", trace).otherwise(F.lit(""))).alias("text"))
 
@@ -146,13 +162,13 @@ class Tables:
     @cached_property
     def clef_lines(self) -> DataFrame:
         """The events as newline-delimited JSON text with reserved keys."""
-        return self.events.select(F.to_json(F.struct(
+        return self.spread_events.select(F.to_json(F.struct(
             F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("@t"),
             F.when(F.col("event_type") != "click", spelling()).alias("@l"),
             F.lit("User {user_id} did {event_type}").alias("@mt"),
             F.when(F.col("event_type") == "error", F.concat(F.lit("TimeoutError: user "), F.col("user_id").cast("string")))
             .alias("@x"),
-            F.format_string("%032x", F.col("user_id") + 1).alias("@tr"),
+            hex_id(F.col("user_id") + 1, 32).alias("@tr"),
             F.col("event_id").alias("event_id"), F.col("user_id"), F.col("event_type"), F.col("value"),
         )).alias("line"))
 
@@ -161,7 +177,7 @@ class Tables:
         """Lines for validation: every kind of event is sent in its own, often broken, way."""
         stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         number = F.col("event_id").cast("string")
-        return self.events.select(
+        return self.spread_events.select(
             "event_id", F.col("event_type").alias("source"),
             F.when(F.col("event_type") == "click", F.concat(F.lit('{"@t":"'), stamp, F.lit('","n":'), number, F.lit("}")))
             .when(F.col("event_type") == "view", F.concat(F.lit('{"n":'), number, F.lit("}")))
@@ -177,12 +193,18 @@ def spelling():
             .when(kind == "view", "dbg").otherwise("Information"))
 
 
+def hex_id(number, width: int, prefix: str = ""):
+    """A key as lower-case hex of fixed width."""
+    column = F.col(number) if isinstance(number, str) else number
+    return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(column.cast("bigint"))), width, "0"))
+
+
 def line_span_id():
     """Line numbers repeat within an order, so the id is a digest of the row."""
     return F.concat(F.lit("d"), F.substring(F.md5(F.concat_ws(
         "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.round(F.col("l_quantity")).cast("bigint"),
-        F.date_format("l_shipdate", "yyyy-MM-dd"))), 1, 15))
+        F.unix_date(F.col("l_shipdate").cast("date")))), 1, 15))
 
 
 def stream_view(events: DataFrame) -> DataFrame:
@@ -218,7 +240,7 @@ STREAM_SQL = f"""stream AS (
 
 LINE_ID_SQL = """'d' || substr(md5(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|'
     || CAST(round(l_extendedprice * 100) AS BIGINT) || '|' || CAST(round(l_quantity) AS BIGINT) || '|'
-    || strftime(l_shipdate, '%Y-%m-%d')), 1, 15)"""
+    || date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))), 1, 15)"""
 
 SPANS_SQL = f"""spans AS (
   SELECT *, start + to_microseconds(elapsed_us) AS ts FROM (

@@ -24,8 +24,9 @@ def _reserved(event: Column, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(event, f'$["{key}"]', kind)
 
 
-def _is_object(event: Column) -> Column:
-    return F.schema_of_variant(event).startswith("OBJECT<")
+def _is_object(line: Column) -> Column:
+    """For text that is known to be JSON, its first character tells."""
+    return line.rlike(r"\A[ \t\r\n]*\{")
 
 
 def rejection_reason(line: Column, limit: int = EVENT_LIMIT_BYTES, require_time: bool = True) -> Column:
@@ -33,7 +34,7 @@ def rejection_reason(line: Column, limit: int = EVENT_LIMIT_BYTES, require_time:
     event = F.try_parse_json(line)
     reason = (F.when(F.octet_length(line) > limit, TOO_LARGE)
               .when(event.isNull(), BAD_JSON)
-              .when(~_is_object(event), NOT_OBJECT))
+              .when(~_is_object(line), NOT_OBJECT))
     if require_time:
         stamp = _reserved(event, "@t")
         reason = (reason.when(_reserved(event, "@t", "variant").isNull(), NO_TIMESTAMP)
@@ -69,30 +70,30 @@ def parse_clef(df: DataFrame, line: str = "line", arrived: str | None = None, re
 
     Lines must hold JSON objects; see :func:`read_clef` for what happens to others.
     """
-    parsed = df.withColumn("_event", F.try_parse_json(strip_bom(F.col(line))))
     now = F.current_timestamp() if reference_time is None else F.lit(reference_time).cast("timestamp")
-    event = F.col("_event")
-    fields = event.try_cast("map<string,variant>")
+    event, own = F.col("_event"), F.col("_own")
     hidden = [*RESERVED_KEYS, *([id_key] if id_key else [])]
-    own = F.map_filter(fields, lambda k, _: ~k.isin(*hidden))
-    unescaped = F.transform_keys(own, lambda k, _: F.when(F.startswith(k, F.lit("@@")), F.substring(k, 2, 2_147_483_647)).otherwise(k))
+    # Parsed once per line, and its properties taken out once, whatever is read from them below.
+    parsed = df.withColumn("_event", F.try_parse_json(strip_bom(F.col(line)))).withColumn(
+        "_own", F.map_filter(event.try_cast("map<string,variant>"), lambda k, _: ~k.isin(*hidden))).withColumn(
+        "_own", F.when(F.exists(F.map_keys(own), lambda k: F.startswith(k, F.lit("@@"))), F.transform_keys(
+            own, lambda k, _: F.when(F.startswith(k, F.lit("@@")), F.substring(k, 2, 2_147_483_647)).otherwise(k))).otherwise(own))
     template, text = _reserved(event, "@mt"), _reserved(event, "@m")
     ts = F.coalesce(_reserved(event, "@t").try_cast("timestamp"), now)
     start = _reserved(event, "@st").try_cast("timestamp")
     level = F.coalesce(_reserved(event, "@l"), F.lit("Information"))
-    values = F.transform_values(unescaped, lambda _, x: x.try_cast("string"))
     given_type = F.conv(_reserved(event, "@i"), 16, 10).try_cast("bigint")
     known = F.col(arrived) if arrived else F.monotonically_increasing_id()
     return parsed.select(
         (_reserved(event, id_key) if id_key else F.lpad(F.hex(known), 16, "0")).alias("id"),
         ts.alias("ts"), start.alias("start"), (F.unix_micros(ts) - F.unix_micros(start)).alias("elapsed_us"),
         level.alias("level"), severity_of(level).alias("severity"),
-        F.coalesce(text, render_template(template, values), F.lit("")).alias("message"),
+        F.coalesce(text, render_template(template, own), F.lit("")).alias("message"),
         F.coalesce(template, text).alias("message_template"),
         F.coalesce(given_type, template_id(F.coalesce(template, text, F.lit("")))).alias("event_type_id"),
         _reserved(event, "@x").alias("exception"), _reserved(event, "@tr").alias("trace_id"),
         _reserved(event, "@sp").alias("span_id"), _reserved(event, "@ps").alias("parent_id"),
-        _reserved(event, "@sk").alias("span_kind"), F.to_variant_object(unescaped).alias("properties"),
+        _reserved(event, "@sk").alias("span_kind"), F.to_variant_object(own).alias("properties"),
         _reserved(event, "@ra", "variant").alias("resource"), _reserved(event, "@sa", "variant").alias("scope"),
         known.cast("bigint").alias("arrived"),
         F.try_variant_get(event, '$["@d"]', DEFINITIONS_TYPE).alias("definitions"))
@@ -107,7 +108,7 @@ def read_clef(spark: SparkSession, paths, invalid: str = "fail", reference_time=
         raise ValueError("invalid must be 'fail' or 'ignore'")
     lines = read_lines(spark, paths).where(~F.col("line").rlike(r"\A\s*\z"))
     event = F.try_parse_json(F.col("line"))
-    good = event.isNotNull() & _is_object(event)
+    good = event.isNotNull() & _is_object(F.col("line"))
     if invalid == "ignore":
         lines = lines.where(good)
     else:
