@@ -14,29 +14,36 @@ MAX_PATH_DEPTH = 5
 PLACES = (("properties", "@Properties", True), ("scope", "@Scope", False), ("resource", "@Resource", False))
 
 
-def _paths(value: Column, prefix: Column, optional: bool, depth: int, max_depth: int) -> Column:
-    """Array of the accessor paths below a variant, as one expression over the row."""
+def _key_paths(value: Column, depth: int) -> Column:
+    """Lists of member names that lead to everything inside a variant, as one expression over the row."""
     entries = F.map_entries(as_object(value))
-    if depth == max_depth:
-        found = F.transform(entries, lambda e: accessor(prefix, e["key"], optional))
+    if depth == 1:
+        found = F.transform(entries, lambda e: F.array(e["key"]))
     else:
-        # The path so far is bound to a variable, else it would be spelled out again at each level.
-        named = F.transform(entries, lambda e: F.struct(accessor(prefix, e["key"], optional).alias("path"), e["value"].alias("value")))
-        found = F.flatten(F.transform(named, lambda e: F.concat(
-            F.array(e["path"]), _paths(e["value"], e["path"], False, depth + 1, max_depth))))
-    return F.coalesce(found, F.array().cast("array<string>"))
+        found = F.flatten(F.transform(entries, lambda e: F.concat(
+            F.array(F.array(e["key"])),
+            F.transform(_key_paths(e["value"], depth - 1), lambda path: F.concat(F.array(e["key"]), path)))))
+    return F.coalesce(found, F.array().cast("array<array<string>>"))
 
 
 def property_paths(df: DataFrame, max_depth: int = MAX_PATH_DEPTH) -> DataFrame:
     """Distinct accessor paths over properties, scope and resource, sorted.
 
-    One pass: each event yields its list of paths, equal lists are merged before they are taken
-    apart, and only distinct paths are shuffled.
+    One pass: each event yields the lists of names it holds, and events of the same shape are
+    merged before anything is shuffled. Accessors are written for distinct paths only.
     """
     have = [p for p in PLACES if p[0] in df.columns]
-    lists = F.concat(*[_paths(F.col(c), F.lit(prefix), optional, 1, max_depth) for c, prefix, optional in have])
-    shapes = df.select(lists.alias("paths")).distinct()
-    return shapes.select(F.explode("paths").alias("path")).distinct().orderBy("path")
+    shapes = df.select(*[_key_paths(F.col(c), max_depth).alias(c) for c, _, _ in have]).distinct()
+
+    def placed(column, prefix, optional):
+        return F.transform(column, lambda path: F.struct(
+            F.lit(prefix).alias("prefix"), F.lit(optional).alias("optional"), path.alias("names")))
+
+    names = shapes.select(F.explode(F.concat(*[placed(*p) for p in have])).alias("p")).select("p.*").distinct()
+    first = F.when(F.col("optional"), accessor(F.col("prefix"), F.get("names", 0), True)).otherwise(
+        accessor(F.col("prefix"), F.get("names", 0)))
+    path = F.aggregate(F.slice("names", 2, max_depth), first, lambda prefix, name: accessor(prefix, name))
+    return names.select(path.alias("path")).distinct().orderBy("path")
 
 
 def available_properties(df: DataFrame, properties: str = "properties") -> DataFrame:

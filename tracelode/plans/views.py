@@ -51,7 +51,7 @@ class Tables:
     @cached_property
     def spans(self) -> DataFrame:
         nation, customer, orders = self.table("nation"), self.table("customer"), self.table("orders")
-        lineitem = self.spread("lineitem")
+        lineitem = self.table("lineitem")
         trace = hex_id(F.col("n") + 1, 32)
         epoch = F.lit("1995-01-01").cast("timestamp")
         roots = nation.select(
@@ -76,8 +76,9 @@ class Tables:
             F.round(F.col("o_totalprice") * 1000).cast("bigint").alias("elapsed_us"),
             F.col("o_orderpriority").alias("service"), F.lit("place order").alias("message"),
             F.lit("Client").alias("span_kind"))
-        steps = lineitem.join(placed.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "n"),
-                              "l_orderkey").select(
+        # Both sides are fact tables: compressed file sizes must not make Spark broadcast either.
+        owners = placed.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "n")
+        steps = lineitem.join(owners.hint("merge"), "l_orderkey").select(
             trace.alias("trace_id"), line_span_id().alias("span_id"),
             hex_id("l_orderkey", 15, "c").alias("parent_id"),
             F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp"))
