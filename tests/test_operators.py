@@ -270,3 +270,27 @@ def test_suppression_is_per_alert_not_per_group(spark):
     rows = [("a", "g1", 0), ("a", "g2", 1), ("b", "g1", 1), ("a", "g1", 10)]
     df = spark.createDataFrame([(x, g, dt.datetime(2024, 1, 1, 0, k)) for x, g, k in rows], "alert string, g string, time timestamp")
     assert {(r.alert, r.g, r.time.minute) for r in alerts.suppress(df, "10m").collect()} == {("a", "g1", 0), ("b", "g1", 1), ("a", "g1", 10)}
+
+
+def test_builder(spark):
+    from tracelode.operators.builder import query
+
+    df = events(spark, [(i, "Error" if i % 3 else "info", float(i)) for i in range(30)])
+    with pytest.raises(ValueError):
+        query(df).measure(n=a.count_all()).rows()
+    assert query(df).unbounded().measure(n=a.count_all()).rows().first().n == 30
+    assert query(df).with_id("0004").rows().first().value == 4.0
+    rows = query(df).between("2024-01-01").where(F.col("level") == "Error").select("value").limit(2).rows().collect()
+    assert [r.value for r in rows] == [1.0, 2.0]
+    grouped = (query(df).between("2024-01-01").group("level", ci=("level",)).measure(n=a.count_all()).percentile(p50=(F.col("value"), 50))
+               .having(F.col("n") > 1).order_by(F.col("n").desc()).rows().collect())
+    assert [tuple(r) for r in grouped] == [("Error", 20, 14.0), ("info", 10, 12.0)]
+    sliced = query(df).between("2024-01-01", "2024-01-01 00:40:00").every("10m", fill=True).measure(n=a.count_all()).rows().collect()
+    assert [r.n for r in sliced] == [10, 10, 10, None]
+
+
+def test_percentiles_of_large_offsets(spark):
+    base = 1.7e15
+    df = spark.createDataFrame([("k", base + i * 1000.0) for i in range(5000)], "k string, v double")
+    row = nearest_rank(df, ["k"], F.col("v"), {"p50": 50, "p99": 99}).first()
+    assert (row.p50, row.p99) == (base + 2499 * 1000, base + 4949 * 1000)

@@ -56,11 +56,15 @@ def bucket(value: Column, err: float = 0.01) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * middle)
 
 
+BANDS_PER_OCTAVE = 4096
+
+
 def magnitude_band(value: Column) -> Column:
-    """A coarse, order-preserving band number for a double: 256 bands per power of two.
+    """A coarse, order-preserving band number for a double: 4096 bands per power of two.
 
     Equal bands can be compared or counted without looking at single values, so a large group
     is narrowed to one band before anything in it is sorted.
     """
-    band = F.floor(F.log2(F.abs(value)) * 256) + 300_000
+    # Doubles reach down to 2^-1074, so the shifted number is positive for all of them.
+    band = F.floor(F.log2(F.abs(value)) * BANDS_PER_OCTAVE) + 1100 * BANDS_PER_OCTAVE
     return (F.when(value == 0, F.lit(0)).when(value > 0, band).otherwise(-band)).cast("bigint")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import as_object
-from .filters import time_range
+from .filters import time_range, where_all
 from .joins import lateral_unnest
 from .percentiles import nearest_rank
 from .query import group_by, slice_start, time_slices
@@ -20,22 +19,28 @@ def _named(keys) -> dict[str, Column]:
     return keys if isinstance(keys, dict) else {k: F.col(k) for k in ([keys] if isinstance(keys, str) else keys)}
 
 
-def metric_definitions(series: DataFrame, predicate: Column | None = None, groups=None, start=None, end=None,
-                       limit: int | None = 30) -> DataFrame:
+def metric_definitions(series: DataFrame, matching: Column | None = None, groups=None, start=None, end=None,
+                       limit: int | None = 30, where: Column | None = None) -> DataFrame:
     """Distinct (name, kind, unit, description), once per value of the group keys.
 
-    ``predicate`` may test samples, or definitions through ``name``, ``kind``, ``unit`` and ``description``.
+    ``where`` tests samples; ``matching`` tests definitions by ``name``, ``kind``, ``unit`` and ``description``.
+    Samples share few definition maps, so equal ones are merged before they are taken apart.
     """
     keys = _named(groups)
     ranged = time_range(series, start, end)
-    # Samples share few definition maps: reduce to distinct ones before taking them apart.
-    rows = ranged.select(*ranged.columns, F.explode("definitions").alias("name", "_definition")).select(
-        *[c for c in ranged.columns if c not in ("name", "kind", "unit", "description")], "name",
-        *[F.col(f"_definition.{f}").alias(f) for f in ("kind", "unit", "description")])
-    if predicate is not None:
-        rows = rows.where(predicate)
-    found = rows.select("name", "kind", "unit", "description", *[c.alias(k) for k, c in keys.items()]).distinct()
-    return found if limit is None else found.orderBy("name", "kind", *keys).limit(limit)
+    if where is not None:
+        ranged = ranged.where(where)
+    maps = ranged.where(F.col("definitions").isNotNull()).select(
+        F.map_entries("definitions").alias("_entries"), *[c.alias(f"_key_{k}") for k, c in keys.items()]).distinct()
+    rows = maps.select(F.explode("_entries").alias("_e"), *[F.col(f"_key_{k}") for k in keys]).select(
+        F.col("_e.key").alias("name"), *[F.col(f"_e.value.{f}").alias(f) for f in ("kind", "unit", "description")],
+        *[F.col(f"_key_{k}") for k in keys])
+    if matching is not None:
+        rows = rows.where(matching)
+    found = rows.distinct()
+    if limit is not None:
+        found = found.orderBy("name", "kind", *[f"_key_{k}" for k in keys]).limit(limit)
+    return found.withColumnsRenamed({f"_key_{k}": k for k in keys})
 
 
 def search_metrics(series: DataFrame, text: str, **options) -> DataFrame:
@@ -52,7 +57,7 @@ def metric_dimensions(series: DataFrame, metric: str | None = None, start=None,
     if metric is not None:
         ranged = ranged.where(F.map_contains_key("definitions", metric))
     own = F.array_except(F.map_keys(as_object(F.col(properties))), F.map_keys("definitions"))
-    found = ranged.select(F.explode(own).alias("dimension")).distinct()
+    found = ranged.select(own.alias("_own")).distinct().select(F.explode("_own").alias("dimension")).distinct()
     return found if limit is None else found.orderBy("dimension").limit(limit)
 
 
@@ -237,11 +242,4 @@ class MetricView:
 
 def metric_view(series: DataFrame, view: MetricView, limit: int | None = 30) -> DataFrame:
     """The metric definitions that a view shows."""
-    for predicate in view.filters:
-        series = series.where(predicate)
-    return metric_definitions(series, groups=view.group_keys, limit=limit)
-
-
-def gamma(scale: int) -> float:
-    """Growth factor of the buckets at a scale."""
-    return math.pow(2, math.pow(2, -scale))
+    return metric_definitions(where_all(series, *view.filters), groups=view.group_keys, limit=limit)

@@ -34,7 +34,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: Column, percentiles: dic
                .groupBy(*groups, "_v").agg(F.sum("_n").alias("_n"))
                .withColumn("_band", magnitude_band(F.col("_v"))))
 
-    # At most a few thousand bands per group, whatever the number of values.
+    # Tens of thousands of bands per group at most in practice, whatever the number of values.
     in_group = Window.partitionBy(*groups)
     bands = (counted.groupBy(*groups, "_band").agg(F.sum("_n").alias("_n"))
              .withColumn("_upto", F.sum("_n").over(

@@ -146,3 +146,27 @@ def slices_filled(t):
 def having_measure(t):
     rows = q.group_by(t.stream, "user_id", {"n": a.count_all(), "total": F.round(F.sum("value"), 4)})
     return q.having(rows, F.col("n") > 10)
+
+
+@query("builder_rows", f"""SELECT {stamp_sql("ts")} AS ts, message, value FROM stream WHERE {IN_RANGE} AND level = 'Error' AND value > 20
+    ORDER BY stream.ts, id LIMIT 1024""", STREAM_SQL)
+def builder_rows(t):
+    from ..operators.builder import query as build
+    from ..operators.signals import catalogue
+
+    rows = (build(t.stream).between(START, END).signal(catalogue()["Errors"]).where(F.col("value") > 20)
+            .select("ts", "message", "value").rows())
+    return rows.select(stamp("ts"), "message", "value")
+
+
+@query("builder_slices", f"""SELECT event_type, {stamp_sql("time")} AS time, n, p90 FROM (SELECT event_type, time, max(total) AS n,
+      min(v) FILTER (WHERE rn >= greatest(1, ceil(90 * total / 100.0))) AS p90 FROM (
+        SELECT event_type, time, v, row_number() OVER (PARTITION BY event_type, time ORDER BY v) AS rn, count(*) OVER (PARTITION BY event_type, time) AS total
+        FROM (SELECT event_type, value AS v, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '{START}') AS time FROM stream WHERE {IN_RANGE})) GROUP BY 1, 2)
+    WHERE n > 5 ORDER BY time, event_type LIMIT 1024""", STREAM_SQL)
+def builder_slices(t):
+    from ..operators.builder import query as build
+
+    rows = (build(t.stream).between(START, END).group("event_type").every("1d").measure(n=a.count_all())
+            .percentile(p90=(F.col("value"), 90)).having(F.col("n") > 5).rows())
+    return rows.select("event_type", stamp("time"), "n", "p90")
