@@ -170,3 +170,12 @@ def builder_slices(t):
     rows = (build(t.stream).between(START, END).group("event_type").every("1d").measure(n=a.count_all())
             .percentile(p90=(F.col("value"), 90)).having(F.col("n") > 5).rows())
     return rows.select("event_type", stamp("time"), "n", "p90")
+
+
+@query("percentile_error_bound", "SELECT event_type, true AS within FROM stream GROUP BY 1", STREAM_SQL)
+def percentile_error_bound(t):
+    """The share of values up to the approximate percentile stays within the permitted error."""
+    near = percentile_with_error(t).withColumnRenamed("event_type", "kind")
+    ranked = t.stream.join(near, F.col("event_type") == F.col("kind"))
+    share = F.count_if(F.col("value") <= F.col("p95")) / F.count(F.lit(1))
+    return q.group_by(ranked, "event_type", {"within": share.between(0.94, 0.96)})

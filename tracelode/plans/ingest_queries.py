@@ -194,11 +194,11 @@ def set_template(t):
     return q.group_by(rows, ["message_template", "message"], {"n": count_all()})
 
 
-@query("normalise_levels", """SELECT p_partkey, coalesce(map_extract(MAP {'b': 'b', 'r': 'r', 'e': 'Error', 'd': 'Debug'}, lower(substr(p_type, 1, 1)))[1],
-    lower(substr(p_type, 1, 1))) AS level FROM part WHERE lower(substr(p_type, 1, 1)) NOT IN ('t','v','i','w','f','c')""")
+@query("normalise_levels", """SELECT p_partkey, CASE lower(letter) WHEN 't' THEN 'Trace' WHEN 'v' THEN 'Verbose' WHEN 'd' THEN 'Debug' WHEN 'i' THEN 'Information'
+    WHEN 'w' THEN 'Warning' WHEN 'e' THEN 'Error' WHEN 'f' THEN 'Fatal' WHEN 'c' THEN 'Critical' ELSE letter END AS level
+    FROM (SELECT p_partkey, substr(p_type, 1, 1) AS letter FROM part)""")
 def normalise_levels(t):
-    letter = F.lower(F.substring("p_type", 1, 1))
-    return t.table("part").where(~letter.isin(*"tviwfc")).select("p_partkey", normalise_level(letter).alias("level"))
+    return t.table("part").select("p_partkey", normalise_level(F.substring("p_type", 1, 1)).alias("level"))
 
 
 @query("filter_ingest", "SELECT count(*) AS n FROM stream WHERE severity >= 3", STREAM_SQL)
