@@ -23,21 +23,24 @@ LEVELS = (
 )
 
 
-def _lookup(level: Column, value_of) -> Column:
-    pairs = [F.lit(x) for name, severity, spellings in LEVELS
-             for s in spellings.split() for x in (s, value_of(name, severity))]
-    return F.try_element_at(F.create_map(*pairs), F.lower(level))
+def _literal_map(value_of) -> str:
+    """A map literal in SQL text: one expression instead of a call per entry."""
+    return "map(" + ", ".join(f"'{s}', {value_of(name, severity)}" for name, severity, spellings in LEVELS
+                              for s in spellings.split()) + ")"
+
+
+_NAMES = _literal_map(lambda name, _: f"'{name}'")
+_RANKS = _literal_map(lambda _, severity: SEVERITIES[severity])
 
 
 def normalise_level(level: Column) -> Column:
     """Full level name; an unknown spelling keeps its text."""
-    return F.coalesce(_lookup(level, lambda name, _: name), level)
+    return F.coalesce(F.try_element_at(F.expr(_NAMES), F.lower(level)), level)
 
 
 def severity_of(level: Column) -> Column:
     """0 (verbose) to 5 (fatal); missing and unknown levels rank as information."""
-    return F.coalesce(_lookup(level, lambda _, severity: SEVERITIES[severity]),
-                      F.lit(SEVERITIES["Information"]))
+    return F.coalesce(F.try_element_at(F.expr(_RANKS), F.lower(level)), F.lit(SEVERITIES["Information"]))
 
 
 def severity_number(name: str) -> int:

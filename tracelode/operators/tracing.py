@@ -28,38 +28,38 @@ def trace_tree(spans: DataFrame, path_column: str = "span_id") -> DataFrame:
     """Depth and path of every span, for all traces at once.
 
     Pointer doubling: each round every unfinished span jumps over its ancestor's ancestor, so a
-    chain of depth d takes log2(d) joins. The number of unfinished spans is the only thing the
-    driver sees. Spans below a missing parent start at depth 0 there; spans in a cycle, which
-    never shrink, are returned without depth.
+    chain of depth d takes log2(d) joins. Each round is written to the shared folder, and only
+    spans that still move are written again; the driver sees one count per round. Spans below a
+    missing parent start at depth 0 there; spans in a cycle are returned without depth.
     """
-    nodes = spans.select("trace_id", "span_id", "parent_id", F.col(path_column).cast("string").alias("_label"))
-    present = nodes.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
-    state = (nodes.join(present, ["trace_id", "parent_id"], "left")
-             .select("trace_id", "span_id", F.when(F.col("_known"), F.col("parent_id")).alias("_up"),
-                     F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).alias("depth"),
-                     F.array("_label").alias("_path")))
-    # Only spans that still move are written again; those that have arrived stay where they are.
-    state = cut_lineage(state)
-    moving, arrived = state.where(F.col("_up").isNotNull()), state.where(F.col("_up").isNull())
+    nodes = spans.select("trace_id", "span_id", F.col("parent_id").alias("_up"), F.lit(0).alias("depth"),
+                         F.array(F.col(path_column).cast("string")).alias("_path"))
+    roots = F.col("_up").isNull()
+    # Roots stay out of the join: their missing key would send them all to one task.
+    state = cut_lineage(_jump(nodes.where(~roots), nodes).unionByName(nodes.where(roots)), "trace-tree")
+    moving, arrived = state.where(~roots), state.where(roots)
     pending = moving.count()
     while pending:
-        target = moving.unionByName(arrived).select(
-            F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
-            F.col("depth").alias("_more"), F.col("_path").alias("_prefix"))
-        jumped = (moving.join(target, (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s")))
-                  .select("trace_id", "span_id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"),
-                          F.concat("_prefix", "_path").alias("_path")))
-        jumped = cut_lineage(jumped)
-        moving = jumped.where(F.col("_up").isNotNull())
-        arrived = arrived.unionByName(jumped.where(F.col("_up").isNull()))
+        jumped = cut_lineage(_jump(moving, moving.unionByName(arrived)), "trace-tree")
+        moving, arrived = jumped.where(~roots), arrived.unionByName(jumped.where(roots))
         left = moving.count()
         if left == pending:
+            # Any span with a way to its root would have let some span arrive: only cycles are left.
             break
         pending = left
-    cyclic = F.col("_up").isNotNull()
     return moving.unionByName(arrived).select(
-        "trace_id", "span_id", F.when(~cyclic, F.col("depth")).alias("depth"),
-        F.when(~cyclic, F.array_join("_path", "/")).alias("path"))
+        "trace_id", "span_id", F.when(roots, F.col("depth")).alias("depth"),
+        F.when(roots, F.array_join("_path", "/")).alias("path"))
+
+
+def _jump(moving: DataFrame, known: DataFrame) -> DataFrame:
+    """Moves each pointer to where its target points; a pointer to a span that is absent ends there."""
+    target = known.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
+                          (F.col("depth") + 1).alias("_more"), F.col("_path").alias("_prefix"))
+    found = moving.join(target, (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s")), "left")
+    return found.select("trace_id", "span_id", F.col("_next").alias("_up"),
+                        (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
+                        F.when(F.col("_t").isNull(), F.col("_path")).otherwise(F.concat("_prefix", "_path")).alias("_path"))
 
 
 def latency_by_service(spans: DataFrame, by="service", p: float = 95, min_count: int = 50, limit: int = 100) -> DataFrame:

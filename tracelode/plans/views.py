@@ -8,12 +8,16 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.levels import severity_of
 from ..functions.values import template_id
 from ..session import configure
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 class Tables:
     """Lazily opened tables and the views derived from them. Nothing here runs a job."""
 
@@ -22,7 +26,12 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table by name. Its schema is read from a file footer once per session."""
+        path = f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     def spread(self, name: str) -> DataFrame:
         """A table whose rows go through much work. A small one, stored as a single split, is dealt
