@@ -211,3 +211,17 @@ def test_metric_export(spark, tmp_path):
     series = clef.read_series(spark, path)
     line = json.loads(series.select(sinks.clef_line(series).alias("x")).first().x)
     assert line == {"@t": "2024-01-01T00:00:00.0000000Z", "a": 1, "@d": {"a": {"kind": "Sum", "description": "xyz"}}}
+
+
+def test_events_have_the_columns_of_the_stream(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from tracelode.model import STREAM_SCHEMA
+
+    names = StructType.fromDDL(STREAM_SCHEMA).names
+    text = spark.createDataFrame([("x", 1)], "`@m` string, n int")
+    assert ingest.build_events(text).columns == names
+    for name in ("a.clef", "b.clef"):
+        write(tmp_path / name, loop(0), loop(1))
+    events = clef.read_clef(spark, str(tmp_path / "*.clef"))
+    assert set(names) <= set(events.columns) and events.select("id").distinct().count() == 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 STREAM_SCHEMA = """
     id STRING, ts TIMESTAMP, start TIMESTAMP, elapsed_us BIGINT,
@@ -34,18 +35,10 @@ RESERVED_KEYS = (
 DATE_COLUMN = "event_date"
 
 
-def is_span():
-    """A span is an event that carries a start time."""
-    return F.col("start").isNotNull()
-
-
-def conform(df: DataFrame, schema: str = STREAM_SCHEMA) -> DataFrame:
-    """Select the columns of ``schema`` in order, adding typed nulls for missing ones."""
-    from pyspark.sql.types import StructType
-
+def conform(df: DataFrame, schema: str = STREAM_SCHEMA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns named in ``keep``, then those of ``schema`` in order, with typed nulls for missing ones."""
     have = set(df.columns)
-    fields = StructType.fromDDL(schema).fields
-    return df.select(*[
+    return df.select(*keep, *[
         (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in fields
+        for f in StructType.fromDDL(schema).fields if f.name not in keep
     ])

@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.levels import severity_number, severity_of
 from ..functions.logic import is_true
 from ..functions.values import as_object, template_id
+from ..model import conform
 
 # Extracted names that become event columns.
 REIFIED = {"@t": "ts", "@m": "message", "@l": "level", "@x": "exception", "@tr": "trace_id", "@sp": "span_id"}
 
 
 def build_events(df: DataFrame, reference_time=None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Extracted fields to events; names without a column of their own, and unmatched text, become properties."""
+    """Extracted fields to events: the stream's columns, after those named in ``keep``.
+
+    Names without a column of their own, and unmatched text, become properties.
+    """
     have = set(df.columns)
     now = F.current_timestamp() if reference_time is None else F.lit(reference_time).cast("timestamp")
 
@@ -31,12 +35,13 @@ def build_events(df: DataFrame, reference_time=None, keep: tuple[str, ...] = ())
     pairs = F.filter(F.array(*members), lambda x: x["v"].isNotNull()) if members else None
     level = F.coalesce(taken("@l"), F.lit("Information"))
     message = F.coalesce(taken("@m"), F.lit(""))
-    return df.select(
+    events = df.select(
         *keep, F.coalesce(taken("@t", "timestamp"), now).alias("ts"), level.alias("level"),
         severity_of(level).alias("severity"), message.alias("message"), message.alias("message_template"),
         template_id(message).alias("event_type_id"), taken("@x").alias("exception"),
         taken("@tr").alias("trace_id"), taken("@sp").alias("span_id"),
         (F.to_variant_object(F.map_from_entries(pairs)) if members else F.lit(None).cast("variant")).alias("properties"))
+    return conform(events, keep=keep)
 
 
 def _as_variant(name: str, kind: str) -> Column:

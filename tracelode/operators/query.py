@@ -150,7 +150,7 @@ def _ranked(df: DataFrame, value: Column, n: int, by, ts: str, id: str, newest:
     staged = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("value"), ts, id)
     if by is None:
         staged = staged.orderBy(*order).limit(n)
-    elif n > 1000:
+    elif n >= 1000:
         # Spark prunes small ranks before the shuffle by itself. For larger ones split each
         # group first, so that no task sorts a whole hot group.
         staged = staged.withColumn("_part", F.pmod(F.xxhash64(id), F.lit(256)))

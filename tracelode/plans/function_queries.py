@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, logic, numbers as n, text as x, times as tm, values as v
 from ..operators import query as q
-from .benchmark_queries import stamp, stamp_sql
+from .benchmark_queries import stamp
 from .registry import query
 from .views import STREAM_SQL
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.values import prop
 from ..operators import metrics as m
 from .benchmark_queries import stamp, stamp_sql
-from .grouping_queries import _ranked_sql
 from .registry import query
 from .views import HISTOGRAM_CELLS_SQL, SERIES_SQL, STREAM_SQL
 

@@ -65,9 +65,10 @@ def rejection_log(rejected: DataFrame, source: str = "source", line: str = "line
 
 
 def parse_clef(df: DataFrame, line: str = "line", arrived: str | None = None, reference_time=None,
-               id_key: str | None = None) -> DataFrame:
+               id_key: str | None = None, origin: Column | None = None) -> DataFrame:
     """JSON lines to events. Reserved keys become columns, all others stay in ``properties``.
 
+    Ids come from ``id_key`` when events carry one, else from the order of arrival within ``origin``.
     Lines must hold JSON objects; see :func:`read_clef` for what happens to others.
     """
     now = F.current_timestamp() if reference_time is None else F.lit(reference_time).cast("timestamp")
@@ -84,8 +85,11 @@ def parse_clef(df: DataFrame, line: str = "line", arrived: str | None = None, re
     level = F.coalesce(_reserved(event, "@l"), F.lit("Information"))
     given_type = F.conv(_reserved(event, "@i"), 16, 10).try_cast("bigint")
     known = F.col(arrived) if arrived else F.monotonically_increasing_id()
+    arrival_id = F.lower(F.lpad(F.hex(known), 16, "0"))
+    if origin is not None:
+        arrival_id = F.concat(F.lower(F.lpad(F.hex(F.xxhash64(origin)), 16, "0")), F.lit("-"), arrival_id)
     return parsed.select(
-        (_reserved(event, id_key) if id_key else F.lpad(F.hex(known), 16, "0")).alias("id"),
+        (_reserved(event, id_key) if id_key else arrival_id).alias("id"),
         ts.alias("ts"), start.alias("start"), (F.unix_micros(ts) - F.unix_micros(start)).alias("elapsed_us"),
         level.alias("level"), severity_of(level).alias("severity"),
         F.coalesce(text, render_template(template, own), F.lit("")).alias("message"),
@@ -114,7 +118,9 @@ def read_clef(spark: SparkSession, paths, invalid: str = "fail", reference_time=
     else:
         message = F.concat(F.lit("The line is not a JSON object: "), F.left(F.col("line"), F.lit(1024)))
         lines = lines.withColumn("line", F.when(good, F.col("line")).otherwise(F.raise_error(message)))
-    return parse_clef(lines, arrived="line_no", reference_time=reference_time, id_key=id_key)
+    # The split a line comes from makes its id differ from those of other files and earlier runs.
+    origin = F.concat_ws("#", "source", "block")
+    return parse_clef(lines, arrived="line_no", reference_time=reference_time, id_key=id_key, origin=origin)
 
 
 def read_series(spark: SparkSession, paths, invalid: str = "fail", reference_time=None) -> DataFrame:
