@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.levels import normalise_level
@@ -61,19 +63,22 @@ def evaluate_alert(df: DataFrame, alert: Alert, start=None, end=None) -> DataFra
 def suppress(firings: DataFrame, period, alert: str = "alert", time: str = "time") -> DataFrame:
     """Firings that notify: after each, later ones of the same alert are silent for the period.
 
-    The decision is sequential, so it is folded per alert, over the distinct window starts at
-    which it fired: as many as the range has windows, however many events or groups there are.
+    The decision is sequential, so it is made per alert, over the distinct window starts at which
+    it fired: as many as the range has windows, however many events or groups there are. From each
+    notification the next one is found by bisection.
     """
     width = duration_us(period)
-    starts = firings.select(alert, F.unix_micros(time).alias("_at")).distinct()
-    folded = starts.groupBy(alert).agg(F.array_sort(F.collect_list("_at")).alias("_all"))
-    spoken = F.aggregate(
-        "_all", F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, at: F.when(
-            acc["last"].isNull() | (at - acc["last"] >= width),
-            F.struct(at.alias("last"), F.concat(acc["kept"], F.array(at)).alias("kept"))).otherwise(acc),
-        lambda acc: acc["kept"])
-    notified = folded.select(F.col(alert).alias("_alert"), F.explode(spoken).alias("_at"))
+    starts = firings.select(F.col(alert).alias("_alert"), F.unix_micros(time).alias("_at")).distinct()
+
+    def speak(fired: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(fired["_at"].to_numpy())
+        kept, i = [], 0
+        while i < len(at):
+            kept.append(at[i])
+            i = int(np.searchsorted(at, at[i] + width, side="left"))
+        return pd.DataFrame({"_alert": fired["_alert"].iloc[0], "_at": kept})
+
+    notified = starts.groupBy("_alert").applyInPandas(speak, "_alert STRING, _at BIGINT")
     on = (F.col(alert) == F.col("_alert")) & (F.unix_micros(time) == F.col("_at"))
     return firings.join(notified, on, "left_semi")
 
