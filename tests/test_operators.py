@@ -144,6 +144,13 @@ def test_metric_catalogue(spark):
     assert [r.dimension for r in m.metric_dimensions(series).orderBy("dimension").collect()] == ["b", "c", "d"]
     assert [r.dimension for r in m.metric_dimensions(series, "e").collect()] == ["b"]
     assert sorted(r.value for r in m.dimension_values(series, prop("b", "int")).collect()) == [2, 5]
+    nested = spark.range(1).select(
+        F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        F.parse_json(F.lit('{"http":{"server":{"duration":{"buckets":[],"count":1}},"route":"/"},"odd name":1}')).alias("properties"),
+        F.parse_json(F.lit('{"service":{"name":"cart"}}')).alias("resource"),
+        F.from_json(F.lit('{"http.server.duration":{"kind":"Fixed"}}'), "map<string,struct<kind:string,unit:string,description:string>>").alias("definitions"))
+    assert [r.dimension for r in m.metric_dimensions(nested, "http.server.duration").orderBy("dimension").collect()] == [
+        "@Properties['odd name']", "@Resource.service.name", "http.route"]
 
 
 def test_exponential_histogram(spark):

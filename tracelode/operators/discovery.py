@@ -14,7 +14,7 @@ MAX_PATH_DEPTH = 5
 PLACES = (("properties", "@Properties", True), ("scope", "@Scope", False), ("resource", "@Resource", False))
 
 
-def _key_paths(value: Column, depth: int) -> Column:
+def key_paths(value: Column, depth: int) -> Column:
     """Lists of member names that lead to everything inside a variant, as one expression over the row."""
     entries = F.map_entries(as_object(value))
     if depth == 1:
@@ -22,7 +22,7 @@ def _key_paths(value: Column, depth: int) -> Column:
     else:
         found = F.flatten(F.transform(entries, lambda e: F.concat(
             F.array(F.array(e["key"])),
-            F.transform(_key_paths(e["value"], depth - 1), lambda path: F.concat(F.array(e["key"]), path)))))
+            F.transform(key_paths(e["value"], depth - 1), lambda path: F.concat(F.array(e["key"]), path)))))
     return F.coalesce(found, F.array().cast("array<array<string>>"))
 
 
@@ -33,17 +33,23 @@ def property_paths(df: DataFrame, max_depth: int = MAX_PATH_DEPTH) -> DataFrame:
     merged before anything is shuffled. Accessors are written for distinct paths only.
     """
     have = [p for p in PLACES if p[0] in df.columns]
-    shapes = df.select(*[_key_paths(F.col(c), max_depth).alias(c) for c, _, _ in have]).distinct()
+    shapes = df.select(*[key_paths(F.col(c), max_depth).alias(c) for c, _, _ in have]).distinct()
+    lists = F.concat(*[placed_paths(*p) for p in have])
+    names = shapes.select(F.explode(lists).alias("p")).select("p.*").distinct()
+    return names.select(written_path(max_depth).alias("path")).distinct().orderBy("path")
 
-    def placed(column, prefix, optional):
-        return F.transform(column, lambda path: F.struct(
-            F.lit(prefix).alias("prefix"), F.lit(optional).alias("optional"), path.alias("names")))
 
-    names = shapes.select(F.explode(F.concat(*[placed(*p) for p in have])).alias("p")).select("p.*").distinct()
+def placed_paths(column: str, prefix: str, optional: bool) -> Column:
+    """Paths with the place they were found in."""
+    return F.transform(column, lambda path: F.struct(
+        F.lit(prefix).alias("prefix"), F.lit(optional).alias("optional"), path.alias("names")))
+
+
+def written_path(max_depth: int = MAX_PATH_DEPTH) -> Column:
+    """The accessor for a row of ``prefix``, ``optional`` and ``names``."""
     first = F.when(F.col("optional"), accessor(F.col("prefix"), F.get("names", 0), True)).otherwise(
         accessor(F.col("prefix"), F.get("names", 0)))
-    path = F.aggregate(F.slice("names", 2, max_depth), first, lambda prefix, name: accessor(prefix, name))
-    return names.select(path.alias("path")).distinct().orderBy("path")
+    return F.aggregate(F.slice("names", 2, max_depth), first, lambda prefix, name: accessor(prefix, name))
 
 
 def available_properties(df: DataFrame, properties: str = "properties") -> DataFrame:

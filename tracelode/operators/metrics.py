@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import as_object
+from .discovery import MAX_PATH_DEPTH, PLACES, key_paths, placed_paths, written_path
 from .filters import time_range, where_all
 from .joins import lateral_unnest
 from .percentiles import nearest_rank
@@ -50,14 +50,28 @@ def search_metrics(series: DataFrame, text: str, **options) -> DataFrame:
     return metric_definitions(series, hit, **options)
 
 
-def metric_dimensions(series: DataFrame, metric: str | None = None, start=None, end=None, limit: int | None = None,
-                      properties: str = "properties") -> DataFrame:
-    """Names present on samples that carry the metric, without the metrics themselves."""
+def metric_dimensions(series: DataFrame, metric: str | None = None, start=None, end=None, limit: int | None = None) -> DataFrame:
+    """Accessors present on samples that carry the metric, without the metrics themselves.
+
+    Samples of equal shape are merged first; what is a metric and what is nested is then decided
+    once per shape.
+    """
     ranged = time_range(series, start, end)
     if metric is not None:
         ranged = ranged.where(F.map_contains_key("definitions", metric))
-    own = F.array_except(F.map_keys(as_object(F.col(properties))), F.map_keys("definitions"))
-    found = ranged.select(own.alias("_own")).distinct().select(F.explode("_own").alias("dimension")).distinct()
+    have = [p for p in PLACES if p[0] in series.columns]
+    shapes = ranged.select(*[key_paths(F.col(c), MAX_PATH_DEPTH).alias(c) for c, _, _ in have],
+                           F.array_sort(F.map_keys("definitions")).alias("_metrics")).distinct()
+
+    def leaves(column):
+        """Paths that do not lead on to longer ones."""
+        return F.filter(column, lambda p: ~F.exists(column, lambda q: (F.size(q) > F.size(p)) & (F.slice(q, 1, F.size(p)) == p)))
+
+    staged = shapes.withColumns({c: leaves(F.col(c)) for c, _, _ in have})
+    rows = staged.select("_metrics", F.explode(F.concat(*[placed_paths(*p) for p in have])).alias("p")).select("_metrics", "p.*")
+    dotted = F.array_join("names", ".")
+    is_metric = F.col("optional") & F.exists("_metrics", lambda m: (dotted == m) | F.startswith(dotted, F.concat(m, F.lit("."))))
+    found = rows.where(~is_metric).select(written_path().alias("dimension")).distinct()
     return found if limit is None else found.orderBy("dimension").limit(limit)
 
 
