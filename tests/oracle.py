@@ -44,7 +44,8 @@ def compare(con, sql: str, df) -> str | None:
     """``None`` when both sides agree, else what differs."""
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
-    types = {d[0]: str(d[1]) for d in cursor.description}
+    types = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    cursor = con.execute(sql)
     want = rows_of(names, cursor.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
@@ -54,8 +55,8 @@ def compare(con, sql: str, df) -> str | None:
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"{len(bad)} rows differ, e.g. {bad[0][0]} != {bad[0][1]}"
-    kinds = {"bigint": ("BIGINT", "NUMBER", "HUGEINT", "INTEGER"), "int": ("INTEGER",), "double": ("DOUBLE",), "string": ("VARCHAR", "STRING")}
-    odd = [f"{n}:{t}/{types[n]}" for n, t in df.dtypes if t in kinds and types[n] not in kinds[t]]
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    odd = [f"{n}:{t}/{types[n]}" for n, t in df.dtypes if kinds.get(t) != types[n]]
     return f"types {odd}" if odd else None
 
 

@@ -126,7 +126,7 @@ def wildcard_all(t):
 
 
 @query("has_and_null_tests", """SELECT count(*) AS present, count(*) FILTER (WHERE exception IS NULL) AS no_exception,
-    0 AS missing, count(*) FILTER (WHERE exception IS NOT NULL) AS with_exception FROM stream""", STREAM_SQL)
+    CAST(0 AS BIGINT) AS missing, count(*) FILTER (WHERE exception IS NOT NULL) AS with_exception FROM stream""", STREAM_SQL)
 def has_and_null_tests(t):
     return q.group_by(t.stream, aggs={
         "present": F.count_if(v.has_prop("user_id")), "no_exception": F.count_if(v.is_null(F.col("exception"))),

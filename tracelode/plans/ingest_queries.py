@@ -26,7 +26,7 @@ LOG_SQL = f"""logs AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view'
 RECORD_START = r"\A\d{4}-\d\d-\d\d \d\d:"
 
 
-@query("read_lines", """SELECT 'events' AS source, count(*) AS lines, sum(length(props)) AS chars FROM events""")
+@query("read_lines", """SELECT 'events' AS source, count(*) AS lines, CAST(sum(length(props)) AS BIGINT) AS chars FROM events""")
 def line_totals(t):
     lines = t.events.select(F.lit("events").alias("source"), "props")
     return q.group_by(lines, "source", {"lines": count_all(), "chars": F.sum(F.length("props"))})
