@@ -67,7 +67,7 @@ def test_odd_rows(spark):
     texts = [None, "", "few words", long, long, "And " * 3000, "And " * 2500, long + "\n" + long, None, long]
     frame = docs(spark, texts, ids=[0, 1, 2, 3, 4, 5, 6, 7, None, 3]).withColumnRenamed("lang", "seed").withColumnRenamed("source", "words")
     found = passages.shared_passages(frame)
-    assert {r.doc_id for r in found.collect()} == {4, 6, 7}
+    assert {r.doc_id for r in found.collect()} == {4, 7}
     cut = passages.without_shared_passages(frame)
     assert cut.columns == frame.columns and cut.count() == len(texts)
     left = {r.doc_id: r.text for r in cut.collect()}

@@ -26,7 +26,7 @@ from .blocks import Block, column, group_bounds, slices, text_array, whole_group
 SEED_WORDS, WINDOW = 5, 16
 #: Words of a passage, and of a chain that may become part of one.
 MIN_WORDS, MIN_CHAIN = 50, 16
-GAP_COST = 0.25
+GAP_COST = 0.1
 #: Words on one diagonal without a seed that still belong to one run.
 RUN_GAP = 2 * (SEED_WORDS + WINDOW)
 IDENTITY = 0.8
@@ -246,6 +246,7 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
 
     ``first_id`` is the least doc_id a part of it was found in, always less than ``doc_id``; ``identity`` the
     least share of equal words of its parts. The first document that has a passage is not listed for it.
+    Of equal windows in a row only the first is a seed, so a run of one repeated word is no passage.
     Rows without an id, and null, empty or short texts, have no passages. Rows that repeat a doc_id with
     the same text are the same document. Other columns are ignored.
     """
