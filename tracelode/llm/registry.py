@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_forest, mixing, packing, passages, quality_rules
+from . import fingerprints, jaccard_forest, mixing, packing, passages, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, folder, "documents"))
+
+
 def op2_jaccard_forest(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_forest.near_duplicates(_table(spark, folder, "documents"))
 
@@ -33,6 +37,10 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(_table(spark, folder, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -40,7 +48,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_forest, op4_fuzzy_passages, op5_quality_rules, op6_pattern_packing, op9_source_mix, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_jaccard_forest, op4_fuzzy_passages, op5_quality_rules, op6_pattern_packing, op9_source_mix, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
