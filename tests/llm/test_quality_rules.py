@@ -51,3 +51,10 @@ def test_order_does_not_change_the_verdict(spark):
     assert sorted(r.name for r in ordered) == sorted(r.name for r in quality_rules.RULES)
     view = quality_rules.View(quality_rules.Block.of_list(texts))
     assert (quality_rules.cascade(view, ordered) == quality_rules.cascade(view, ordered[::-1])).all()
+
+
+def test_sql_twin(spark):
+    import oracle
+
+    frame = quality_rules.quality_figures(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert oracle.compare(oracle.duck("/root/testdata/sf0.01"), quality_rules.REPORT_SQL, frame) is None

@@ -80,8 +80,8 @@ class Block:
         np.cumsum((self.data & 0xC0) != 0x80, out=out[1:])
         return out
 
-    def words(self) -> "Words":
-        inside = ~WHITE[self.data]
+    def words(self, breaks: np.ndarray = WHITE) -> "Words":
+        inside = ~breaks[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.bounds] = True
         before, after = edge[:-1].copy(), edge[1:].copy()

@@ -200,3 +200,27 @@ def passing(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
                 yield part.filter(pa.array(cascade(View(Block.of(text_array(part))), ordered)))
 
     return documents.mapInArrow(keep, documents.schema)
+
+
+REPORT_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM split),
+runs AS (SELECT doc_id, i, word, lead(word, 1) OVER w AS b, lead(word, 2) OVER w AS c, lead(word, 3) OVER w AS d, lead(word, 4) OVER w AS e
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, word, b, c, d, e) AS n FROM runs WHERE e IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice CROSS JOIN (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
+tops AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, word, count(*) AS n FROM numbered GROUP BY doc_id, word) GROUP BY doc_id),
+figures AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines, coalesce(top, 0) AS top, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+    length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, strlen(regexp_replace(text, '[\x00-@\[-`{-\x7F]', '', 'g')) AS wordlike
+  FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN tops USING (doc_id)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_dup_lines > 5 * n_lines
+    OR 2 * capitals > letters OR 2 * wordlike < word_chars OR top > greatest(floor(0.3 * n_words), 1)) AS kept
+FROM based
+"""

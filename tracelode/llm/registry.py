@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_forest, mixing, packing, passages, quality_rules, suffix_dedup
+from . import chat, fingerprints, jaccard_forest, mixing, packing, passages, quality_mil, quality_rules, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_jaccard_forest(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_forest.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_mil.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_fuzzy_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.shared_passages(_table(spark, folder, "documents"))
 
@@ -33,6 +37,16 @@ def op6_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"))
 
 
+def op7_chat_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.turns_of_table(_table(spark, folder, "conversations"))
+    sample = spark.createDataFrame([(-7, i, role, chat.SAMPLE_TEXT) for i, role in enumerate(("user", "assistant"))], chat.TURNS)
+    return chat.read_back(chat.formatted(turns.union(sample)))
+
+
+def op8_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(_table(spark, folder, "documents"))
 
@@ -47,9 +61,13 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
+_QUERIES = (op1_fingerprints, op2_jaccard_forest, op3_quality_mil, op4_fuzzy_passages, op5_quality_rules, op6_pattern_packing, op7_chat_layouts,
+            op8_toxicity_grammar, op9_source_mix, op10_suffix_dedup, pipeline)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_jaccard_forest, op4_fuzzy_passages, op5_quality_rules, op6_pattern_packing, op9_source_mix, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.REPORT_SQL}
+    return {"op5_quality_rules": quality_rules.REPORT_SQL, "op7_chat_layouts": chat.REPORT_SQL, "op9_source_mix": mixing.REPORT_SQL}
