@@ -122,8 +122,11 @@ def test_path_places_and_depth(spark):
                                F.parse_json(F.lit('{"name":"s"}')).alias("scope"),
                                F.parse_json(F.lit('{"service":{"name":"web","l3":{"l4":{"l5":{"l6":{"l7":1}}}}}}}')).alias("resource"))
     paths = {r.path for r in discovery.property_paths(df).collect()}
+    top = {r.path for r in discovery.property_paths(df, 1).collect()}
+    assert top == {"UserId", "@Properties['a b']", "@Properties.and", "@Scope.name", "@Resource.service"}
     assert paths == {"UserId", "@Properties['a b']", "@Properties.and", "@Properties.and.x", "@Scope.name", "@Resource.service", "@Resource.service.name",
-                     "@Resource.service.l3", "@Resource.service.l3.l4", "@Resource.service.l3.l4.l5", "@Resource.service.l3.l4.l5.l6"}
+                     "@Resource.service.l3", "@Resource.service.l3.l4", "@Resource.service.l3.l4.l5", "@Resource.service.l3.l4.l5.l6",
+                     "@Resource.service.l3.l4.l5.l6.l7"}
     assert {r.name for r in discovery.available_properties(df).collect()} == {"UserId", "a b", "and"}
 
 
@@ -301,3 +304,52 @@ def test_percentiles_of_large_offsets(spark):
     df = spark.createDataFrame([("k", base + i * 1000.0) for i in range(5000)], "k string, v double")
     row = nearest_rank(df, ["k"], F.col("v"), {"p50": 50, "p99": 99}).first()
     assert (row.p50, row.p99) == (base + 2499 * 1000, base + 4949 * 1000)
+
+
+def pushed(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[text.index("PushedFilters: [") + 16:].split("]")[0]
+
+
+def test_signals_reach_the_scan(spark, tmp_path):
+    from tracelode.operators.signals import Signal, catalogue
+
+    rows = spark.range(10).select(F.col("id").cast("string").alias("id"), F.col("id").alias("event_type_id"), F.lit(None).cast("string").alias("exception"),
+                                  F.lit(None).cast("timestamp").alias("start"), F.current_timestamp().alias("ts"))
+    rows.write.parquet(str(tmp_path / "events"))
+    table = spark.read.parquet(str(tmp_path / "events"))
+    five, odd = Signal("five", F.col("event_type_id") == 5), Signal("odd", F.col("event_type_id").isin(1, 5))
+    assert "EqualTo(event_type_id,5)" in pushed(filters.apply_signal(table, five))
+    both = pushed(filters.apply_signal(table, five & catalogue()["Logs"]))
+    assert "EqualTo(event_type_id,5)" in both and "IsNull(start)" in both
+    assert "Or(" in pushed(filters.apply_signal(table, five | odd))
+    assert "EqualTo(event_type_id,5)" in pushed(filters.search(table, signal=five & odd))
+    # Undefined values still neither match nor poison.
+    undefined = Signal("undefined", F.col("exception") == "x")
+    assert [r.id for r in filters.apply_signal(table, undefined | five).collect()] == ["5"]
+    assert filters.apply_signal(table, undefined & five).count() == 0
+
+
+def test_percentiles_of_close_values(spark):
+    from tracelode.operators import percentiles
+
+    rows = spark.range(200_000).select((F.lit(8.0e9) + F.col("id") * 5).alias("v"), F.lit("k").alias("k"))
+    got = percentiles.nearest_rank(rows, ["k"], F.col("v"), {"p1": 1, "p50": 50, "p100": 100}).first()
+    assert (got.p1, got.p50, got.p100) == (8.0e9 + 1999 * 5, 8.0e9 + 99_999 * 5, 8.0e9 + 199_999 * 5)
+    band = rows.select(percentiles.magnitude_band(F.col("v")).alias("b"), "v").groupBy("b").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = rows.select("v", percentiles.magnitude_band(F.col("v")).alias("b")).join(band, "b").select(
+        "b", F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * percentiles.PARTS).alias("p"))
+    assert parts.groupBy("b", "p").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_repeated_spans_do_not_multiply(spark):
+    from tracelode.operators import joins, tracing
+
+    rows = [("t", "a", None, "web", "old", 1), ("t", "a", None, "web", "new", 2), ("t", "b", "a", "db", "call", 3)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, service string, message string, n int").withColumn(
+        "ts", F.timestamp_seconds("n")).withColumn("start", F.col("ts"))
+    found = joins.span_parents(spans, ("message",)).where("span_id = 'b'").collect()
+    assert [r.parent_message for r in found] == ["new"]
+    logs = spark.createDataFrame([("t", "a", 1)], "trace_id string, span_id string, log int")
+    assert [r.span_message for r in joins.logs_in_spans(logs, spans, ("message",)).collect()] == ["new"]
+    assert sorted((r.span_id, r.depth, r.path) for r in tracing.trace_tree(spans).collect()) == [("a", 0, "a"), ("b", 1, "a/b")]

@@ -8,25 +8,25 @@ SEVERITIES = {"Verbose": 0, "Debug": 1, "Information": 2, "Warning": 3, "Error":
 
 # Full level name, its severity, and the spellings that mean it.
 LEVELS = (
-    ("Trace", "Verbose", "t tr trc trce trace"),
-    ("Verbose", "Verbose", "v ver vrb verb verbose"),
-    ("Debug", "Debug", "d de dbg deb dbug debu debug"),
-    ("Information", "Information", "i in inf info information"),
-    ("Notice", "Information", "notice"),
-    ("Warning", "Warning", "w wa war wrn warn warning"),
-    ("Error", "Error", "e er err erro eror error"),
-    ("Fatal", "Fatal", "f fa ftl fat fatl fatal"),
-    ("Critical", "Fatal", "c cr crt cri crit critical"),
-    ("Emergency", "Fatal", "emerg"),
-    ("Alert", "Fatal", "alert"),
-    ("Panic", "Fatal", "panic"),
+    ("Trace", "Verbose", ("t", "tr", "trc", "trce", "trace")),
+    ("Verbose", "Verbose", ("v", "ver", "vrb", "verb", "verbose")),
+    ("Debug", "Debug", ("d", "de", "dbg", "deb", "dbug", "debu", "debug")),
+    ("Information", "Information", ("i", "in", "inf", "info", "information")),
+    ("Notice", "Information", ("notice",)),
+    ("Warning", "Warning", ("w", "wa", "war", "wrn", "warn", "warning")),
+    ("Error", "Error", ("e", "er", "err", "erro", "eror", "error")),
+    ("Fatal", "Fatal", ("f", "fa", "ftl", "fat", "fatl", "fatal")),
+    ("Critical", "Fatal", ("c", "cr", "crt", "cri", "crit", "critical")),
+    ("Emergency", "Fatal", ("emerg",)),
+    ("Alert", "Fatal", ("alert",)),
+    ("Panic", "Fatal", ("panic",)),
 )
 
 
 def _literal_map(value_of) -> str:
     """A map literal in SQL text: one expression instead of a call per entry."""
     return "map(" + ", ".join(f"'{s}', {value_of(name, severity)}" for name, severity, spellings in LEVELS
-                              for s in spellings.split()) + ")"
+                              for s in spellings) + ")"
 
 
 _NAMES = _literal_map(lambda name, _: f"'{name}'")
@@ -46,6 +46,6 @@ def severity_of(level: Column) -> Column:
 def severity_number(name: str) -> int:
     """Severity of a literal level spelling."""
     for full, severity, spellings in LEVELS:
-        if name.lower() in spellings.split() or name == full:
+        if name.lower() in spellings or name == full:
             return SEVERITIES[severity]
     raise ValueError(f"unknown level: {name}")

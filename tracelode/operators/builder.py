@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .filters import apply_signal, bounded
 from .joins import lateral_unnest
-from .query import DEFAULT_LIMIT, group_by, time_slices
+from .query import group_by, time_slices
 from .signals import Signal, intersect
 
 
@@ -35,7 +35,7 @@ class Query:
     ranks: dict[str, tuple] = field(default_factory=dict)
     condition: Column | None = None
     order: tuple[Column | str, ...] = ()
-    cap: int | None = DEFAULT_LIMIT
+    cap: int | None = None
 
     def between(self, start=None, end=None) -> "Query":
         return replace(self, bounds={**self.bounds, "start": start, "end": end})

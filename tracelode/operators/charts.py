@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import UNITS_US, duration_us
 from .filters import apply_signal, time_range
-from .query import CHART_LIMIT, group_by, time_slices
+from .query import group_by, time_slices
 from .signals import Signal, intersect
 
 
@@ -61,7 +61,7 @@ def render_chart(df: DataFrame, chart: Chart, start=None, end=None, last=None, n
     order = chart.order_by or ([*(["time"] if every is not None else []), *chart.group_by])
     if order:
         result = result.orderBy(*order)
-    return result.limit(min(chart.limit or CHART_LIMIT, CHART_LIMIT))
+    return result if chart.limit is None else result.limit(chart.limit)
 
 
 def flatten_result(df: DataFrame, keys, measures) -> DataFrame:

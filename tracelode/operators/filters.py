@@ -7,9 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.logic import is_true
 from ..model import DATE_COLUMN
-from .signals import Signal, signal_column
+from .signals import Signal, signal_predicate
 
 
 def _instant(value) -> Column:
@@ -42,11 +41,11 @@ def where_all(df: DataFrame, *predicates: Column) -> DataFrame:
 
 def where_any(df: DataFrame, *predicates: Column) -> DataFrame:
     """Events for which some predicate is true; undefined ones do not poison the others."""
-    return df.where(reduce(lambda a, b: a | b, [is_true(p) for p in predicates]))
+    return df.where(reduce(lambda a, b: a | b, predicates))
 
 
 def apply_signal(df: DataFrame, signal: Signal | Column | None) -> DataFrame:
-    return df if signal is None else df.where(signal_column(signal))
+    return df if signal is None else df.where(signal_predicate(signal))
 
 
 def search(df: DataFrame, predicate: Column | None = None, start=None, end=None,
@@ -62,8 +61,7 @@ def search(df: DataFrame, predicate: Column | None = None, start=None, end=None,
 def text_search(df: DataFrame, text: str) -> DataFrame:
     """Case-insensitive substring in the message or the exception."""
     wanted = text.lower()
-    return df.where(is_true(F.contains(F.lower("message"), F.lit(wanted)))
-                    | is_true(F.contains(F.lower("exception"), F.lit(wanted))))
+    return df.where(F.contains(F.lower("message"), F.lit(wanted)) | F.contains(F.lower("exception"), F.lit(wanted)))
 
 
 def events_in_trace(df: DataFrame, trace_id, span_id=None) -> DataFrame:

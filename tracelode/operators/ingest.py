@@ -130,19 +130,19 @@ def apply_ingest_policies(df: DataFrame, policies: list[IngestPolicy], key: str
     return df.where(keep).withColumns({"ts": ts, "properties": properties})
 
 
-MAX_NESTING = 10
+def unflatten(df: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Columns named ``a.b.c`` become nested structs; a dotted name that clashes with a plain one stays flat.
 
-
-def unflatten(df: DataFrame) -> DataFrame:
-    """Columns named ``a.b.c`` become nested structs; a dotted name that clashes with a plain one stays flat."""
-    return df.select(*_nest({c: F.col(f"`{c}`") for c in df.columns}, 0))
+    Below ``max_depth`` levels, if given, names stay dotted.
+    """
+    return df.select(*_nest({c: F.col(f"`{c}`") for c in df.columns}, max_depth))
 
 
-def _nest(columns: dict[str, Column], depth: int) -> list[Column]:
+def _nest(columns: dict[str, Column], depth: int | None) -> list[Column]:
     plain, by_head = {}, {}
     for name, column in columns.items():
         parts = name.split(".")
-        dotted = depth < MAX_NESTING and len(parts) > 1 and all(re.fullmatch(r"[^\W\d]\w*", p) for p in parts)
+        dotted = depth != 0 and len(parts) > 1 and all(re.fullmatch(r"[^\W\d]\w*", p) for p in parts)
         if dotted:
             by_head.setdefault(parts[0], {})[name] = column
         else:
@@ -153,7 +153,7 @@ def _nest(columns: dict[str, Column], depth: int) -> list[Column]:
         if head in plain:
             result += [c.alias(n) for n, c in members.items()]
         else:
-            result.append(F.struct(*_nest({n.split(".", 1)[1]: c for n, c in members.items()}, depth + 1)).alias(head))
+            result.append(F.struct(*_nest({n.split(".", 1)[1]: c for n, c in members.items()}, None if depth is None else depth - 1)).alias(head))
     return result
 
 

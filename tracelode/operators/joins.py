@@ -1,8 +1,8 @@
 """Lateral unnesting and the key joins of the tracing model.
 
-Every join here looks up at most one row per key on its right-hand side, so a hot key on the left
-can be split freely: adaptive execution splits such a partition and repeats only the matching
-right-hand partition.
+Delivery is at least once, so a span may be stored repeatedly. Every join here first reduces its right-hand
+side to the latest row per key; the same keys partition the join, so that costs no shuffle of its own, and
+no copy of a parent can multiply its children.
 """
 
 from __future__ import annotations
@@ -17,18 +17,26 @@ def lateral_unnest(df: DataFrame, array: str | Column, alias: str) -> DataFrame:
     return df.withColumn(alias, F.explode(F.col(array) if isinstance(array, str) else array))
 
 
+def one_per_span(spans: DataFrame, columns: tuple[str, ...], prefix: str = "") -> DataFrame:
+    """(trace_id, span_id) and columns of the latest row of each span; ties go to the greatest values."""
+    latest = [c for c in ("ts", "id") if c in spans.columns]
+    if not columns:
+        return spans.select(*TRACE_KEYS).distinct()
+    held = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    order = F.struct(*latest, *[F.col(c) for c in columns])
+    return spans.groupBy(*TRACE_KEYS).agg(F.max_by(held, order).alias("_held")).select(*TRACE_KEYS, "_held.*")
+
+
 def span_parents(spans: DataFrame, columns: tuple[str, ...] = ("service", "message", "start")) -> DataFrame:
     """Each span with its parent's columns under ``parent_*``; roots have none."""
-    parents = spans.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_span"),
-                           *[F.col(c).alias(f"parent_{c}") for c in columns])
+    parents = one_per_span(spans, columns, "parent_").withColumnsRenamed({"trace_id": "_trace", "span_id": "_span"})
     on = (spans["trace_id"] == F.col("_trace")) & (spans["parent_id"] == F.col("_span"))
     return spans.join(parents, on, "left").drop("_trace", "_span")
 
 
 def logs_in_spans(logs: DataFrame, spans: DataFrame, columns: tuple[str, ...] = ("service", "message", "start")) -> DataFrame:
     """Log events with the columns of the span they were recorded in under ``span_*``."""
-    owners = spans.select(*TRACE_KEYS, *[F.col(c).alias(f"span_{c}") for c in columns])
-    return logs.join(owners, list(TRACE_KEYS))
+    return logs.join(one_per_span(spans, columns, "span_"), list(TRACE_KEYS))
 
 
 def orphan_spans(spans: DataFrame) -> DataFrame:

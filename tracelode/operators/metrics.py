@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .discovery import MAX_PATH_DEPTH, PLACES, key_paths, placed_paths, written_path
+from .discovery import PLACES, key_paths, placed_paths, written_path
 from .filters import time_range, where_all
 from .joins import lateral_unnest
 from .percentiles import nearest_rank
@@ -20,7 +20,7 @@ def _named(keys) -> dict[str, Column]:
 
 
 def metric_definitions(series: DataFrame, matching: Column | None = None, groups=None, start=None, end=None,
-                       limit: int | None = 30, where: Column | None = None) -> DataFrame:
+                       limit: int | None = None, where: Column | None = None) -> DataFrame:
     """Distinct (name, kind, unit, description), once per value of the group keys.
 
     ``where`` tests samples; ``matching`` tests definitions by ``name``, ``kind``, ``unit`` and ``description``.
@@ -60,8 +60,9 @@ def metric_dimensions(series: DataFrame, metric: str | None = None, start=None,
     if metric is not None:
         ranged = ranged.where(F.map_contains_key("definitions", metric))
     have = [p for p in PLACES if p[0] in series.columns]
-    shapes = ranged.select(*[key_paths(F.col(c), MAX_PATH_DEPTH).alias(c) for c, _, _ in have],
+    shapes = ranged.select(*[F.schema_of_variant(c).alias(c) for c, _, _ in have],
                            F.array_sort(F.map_keys("definitions")).alias("_metrics")).distinct()
+    shapes = shapes.withColumns({c: key_paths(F.col(c)) for c, _, _ in have})
 
     def leaves(column):
         """Paths that do not lead on to longer ones."""
@@ -254,6 +255,6 @@ class MetricView:
     group_keys: dict[str, Column] = field(default_factory=dict)
 
 
-def metric_view(series: DataFrame, view: MetricView, limit: int | None = 30) -> DataFrame:
+def metric_view(series: DataFrame, view: MetricView, limit: int | None = None) -> DataFrame:
     """The metric definitions that a view shows."""
     return metric_definitions(where_all(series, *view.filters), groups=view.group_keys, limit=limit)

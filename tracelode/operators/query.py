@@ -10,8 +10,8 @@ from ..functions.times import duration_us, from_us, ticks_us
 from .filters import time_range
 from .percentiles import nearest_rank
 
-DEFAULT_LIMIT = 1024
-CHART_LIMIT = 10_000
+#: Parts that a ranked group is dealt out to before its first rows meet.
+RANK_PARTS = 32
 
 
 def select_columns(df: DataFrame, *names: str, **computed: Column) -> DataFrame:
@@ -36,8 +36,8 @@ def event_as_object(df: DataFrame) -> DataFrame:
     return df.withColumn("data", F.struct("*")).withColumn("json_chars", F.length(F.to_json("data")).cast("bigint"))
 
 
-def latest_as_table(df: DataFrame, n: int = 10) -> DataFrame:
-    """The newest events as display columns."""
+def latest_as_table(df: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` events as display columns."""
     from ..functions.text import to_hex_string
     from ..functions.times import to_iso_string
 
@@ -150,10 +150,9 @@ def _ranked(df: DataFrame, value: Column, n: int, by, ts: str, id: str, newest:
     staged = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("value"), ts, id)
     if by is None:
         staged = staged.orderBy(*order).limit(n)
-    elif n >= 1000:
-        # Spark prunes small ranks before the shuffle by itself. For larger ones split each
-        # group first, so that no task sorts a whole hot group.
-        staged = staged.withColumn("_part", F.pmod(F.xxhash64(id), F.lit(256)))
+    else:
+        # Each group is split first, so that no task sorts a whole hot group.
+        staged = staged.withColumn("_part", F.pmod(F.xxhash64(id), F.lit(RANK_PARTS)))
         local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
         staged = staged.withColumn("_local", local).where(F.col("_local") <= n).drop("_part", "_local")
     ranked = staged.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -185,6 +184,6 @@ def top_k(df: DataFrame, *keys, n: int, desc: bool = False, ci: bool = False) ->
     return order_by(df, *keys, desc=desc, ci=ci).limit(n)
 
 
-def limit(df: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
+def limit(df: DataFrame, n: int) -> DataFrame:
     """Cap the rows of an ordered result."""
     return df.limit(n)

@@ -6,26 +6,37 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.logic import is_true, op_not
+from ..functions.logic import is_true
 from ..functions.values import prop, template_id_of
 
 
 @dataclass(frozen=True)
 class Signal:
-    """A named predicate. ``a & b`` is intersection, ``a | b`` is union; both stay one scan."""
+    """A named predicate. ``a & b`` is intersection, ``a | b`` is union; both stay one scan.
+
+    A filter keeps a row only if the predicate is true, and so do ``and`` and ``or`` of predicates that may
+    be undefined: nothing is wrapped, so that scans see plain comparisons. :func:`signal_column` is for
+    where the value itself is used.
+    """
 
     name: str
     predicate: Column
 
     def __and__(self, other: "Signal") -> "Signal":
-        return Signal(f"({self.name} and {other.name})", is_true(self.predicate) & is_true(other.predicate))
+        return Signal(f"({self.name} and {other.name})", self.predicate & other.predicate)
 
     def __or__(self, other: "Signal") -> "Signal":
-        return Signal(f"({self.name} or {other.name})", is_true(self.predicate) | is_true(other.predicate))
+        return Signal(f"({self.name} or {other.name})", self.predicate | other.predicate)
+
+
+def signal_predicate(signal: Signal | Column) -> Column:
+    """For filters: undefined where the signal's value is."""
+    return signal.predicate if isinstance(signal, Signal) else signal
 
 
 def signal_column(signal: Signal | Column) -> Column:
-    return is_true(signal.predicate if isinstance(signal, Signal) else signal)
+    """True or false for every event."""
+    return is_true(signal_predicate(signal))
 
 
 def intersect(*signals: Signal | None) -> Signal | None:
@@ -46,10 +57,13 @@ def union(*signals: Signal) -> Signal:
 
 # The level spellings that each stock signal accepts.
 ERROR_SPELLINGS = (
-    "f fa fat ftl fata fatl fatal c cr cri crt crit critical alert emerg panic e er err eror erro error"
-).split()
-WARNING_SPELLINGS = "w wa war wrn warn warning".split()
-INFORMATION_SPELLINGS = "inf info information".split()
+    "f", "fa", "fat", "ftl", "fata", "fatl", "fatal",
+    "c", "cr", "cri", "crt", "crit", "critical",
+    "alert", "emerg", "panic",
+    "e", "er", "err", "eror", "erro", "error",
+)
+WARNING_SPELLINGS = ("w", "wa", "war", "wrn", "warn", "warning")
+INFORMATION_SPELLINGS = ("inf", "info", "information")
 
 
 def level_in(spellings) -> Column:
@@ -79,7 +93,7 @@ def catalogue() -> dict[str, Signal]:
         Signal("Warnings", level_in(WARNING_SPELLINGS)),
         Signal("Information", level_in(INFORMATION_SPELLINGS)),
         Signal("Exceptions", F.col("exception").isNotNull()),
-        Signal("Logs", op_not(F.col("start").isNotNull())),
+        Signal("Logs", F.col("start").isNull()),
         Signal("Spans", F.col("start").isNotNull() & F.col("span_id").isNotNull()),
         by_status("Success", 200, 300),
         by_status("Bad Request", 400, 401),

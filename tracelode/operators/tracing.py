@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import round_to
 from ..functions.times import to_iso_string
 from ..session import cut_lineage
+from .joins import TRACE_KEYS, one_per_span
 from .query import group_by
 
 
@@ -15,10 +16,11 @@ def with_elapsed(df: DataFrame) -> DataFrame:
     return df.withColumn("elapsed_us", F.unix_micros("ts") - F.unix_micros("start"))
 
 
-def trace_spans(df: DataFrame, trace_id: str, limit: int = 1000, service: Column | None = None) -> DataFrame:
-    """Spans of one trace in start order."""
+def trace_spans(df: DataFrame, trace_id: str, limit: int | None = None, service: Column | None = None) -> DataFrame:
+    """Spans of one trace in start order, all of them unless a limit is given."""
     spans = with_elapsed(df.where((F.col("trace_id") == trace_id) & F.col("start").isNotNull()))
-    return (spans.orderBy("start", "span_id").limit(limit)
+    ordered = spans.orderBy("start", "span_id")
+    return ((ordered if limit is None else ordered.limit(limit))
             .select("span_id", "parent_id", (F.col("service") if service is None else service).alias("service"),
                     F.col("message").alias("span_name"), F.col("span_kind").alias("kind"), "start",
                     to_iso_string(F.col("start")).alias("start_iso"), (F.col("elapsed_us") / 1000.0).alias("ms")))
@@ -30,10 +32,12 @@ def trace_tree(spans: DataFrame, path_column: str = "span_id") -> DataFrame:
     Pointer doubling: each round every unfinished span jumps over its ancestor's ancestor, so a
     chain of depth d takes log2(d) joins. Each round is written to the shared folder, and only
     spans that still move are written again; the driver sees one count per round. Spans below a
-    missing parent start at depth 0 there; spans in a cycle are returned without depth.
+    missing parent start at depth 0 there; spans in a cycle are returned without depth. A span that is
+    stored repeatedly is one node.
     """
-    nodes = spans.select("trace_id", "span_id", F.col("parent_id").alias("_up"), F.lit(0).alias("depth"),
-                         F.array(F.col(path_column).cast("string")).alias("_path"))
+    columns = tuple(dict.fromkeys(c for c in ("parent_id", path_column) if c not in TRACE_KEYS))
+    nodes = one_per_span(spans, columns).select(
+        "trace_id", "span_id", F.col("parent_id").alias("_up"), F.lit(0).alias("depth"), F.array(F.col(path_column).cast("string")).alias("_path"))
     roots = F.col("_up").isNull()
     # Roots stay out of the join: their missing key would send them all to one task.
     state = cut_lineage(_jump(nodes.where(~roots), nodes).unionByName(nodes.where(roots)), "trace-tree")
@@ -62,13 +66,17 @@ def _jump(moving: DataFrame, known: DataFrame) -> DataFrame:
                         F.when(F.col("_t").isNull(), F.col("_path")).otherwise(F.concat("_prefix", "_path")).alias("_path"))
 
 
-def latency_by_service(spans: DataFrame, by="service", p: float = 95, min_count: int = 50, limit: int = 100) -> DataFrame:
-    """Span count, percentile and maximum in milliseconds per service, slowest first."""
+def latency_by_service(spans: DataFrame, by="service", p: float = 95, min_count: int = 0, limit: int | None = None) -> DataFrame:
+    """Span count, percentile and maximum in milliseconds per service, slowest first.
+
+    ``min_count`` leaves out services that do not have more spans than that.
+    """
     elapsed = F.col("elapsed_us")
     keys = [by] if isinstance(by, str) else by
     rows = group_by(with_elapsed(spans).where(F.col("start").isNotNull()), keys,
                     {"spans": F.count(F.lit(1)), "max_us": F.max(elapsed)}, {"p_us": (elapsed, p)})
     names = list(keys)
-    return (rows.where(F.col("spans") > min_count)
+    ordered = (rows.where(F.col("spans") > min_count)
             .select(*names, "spans", round_to(F.col("p_us") / 1000, 2).alias("p_ms"), round_to(F.col("max_us") / 1000, 2).alias("max_ms"))
-            .orderBy(F.col("p_ms").desc(), *names).limit(limit))
+            .orderBy(F.col("p_ms").desc(), *names))
+    return ordered if limit is None else ordered.limit(limit)

@@ -149,7 +149,7 @@ def having_measure(t):
 
 
 @query("builder_rows", f"""SELECT {stamp_sql("ts")} AS ts, message, value FROM stream WHERE {IN_RANGE} AND level = 'Error' AND value > 20
-    ORDER BY stream.ts, id LIMIT 1024""", STREAM_SQL)
+    ORDER BY stream.ts, id""", STREAM_SQL)
 def builder_rows(t):
     from ..operators.builder import query as build
     from ..operators.signals import catalogue
@@ -163,7 +163,7 @@ def builder_rows(t):
       min(v) FILTER (WHERE rn >= greatest(1, ceil(90 * total / 100.0))) AS p90 FROM (
         SELECT event_type, time, v, row_number() OVER (PARTITION BY event_type, time ORDER BY v) AS rn, count(*) OVER (PARTITION BY event_type, time) AS total
         FROM (SELECT event_type, value AS v, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '{START}') AS time FROM stream WHERE {IN_RANGE})) GROUP BY 1, 2)
-    WHERE n > 5 ORDER BY time, event_type LIMIT 1024""", STREAM_SQL)
+    WHERE n > 5 ORDER BY time, event_type""", STREAM_SQL)
 def builder_slices(t):
     from ..operators.builder import query as build
 

@@ -9,7 +9,9 @@ from ..functions.levels import normalise_level, severity_of
 from ..functions.values import prop
 from ..operators import extraction as ex, ingest, query as q, sinks
 from ..operators.framing import frame_lines
+from ..session import scratch_path
 from ..sources import clef
+from ..sources.lines import read_lines
 from .benchmark_queries import stamp, stamp_sql
 from .registry import query
 from .views import LEVEL_SQL, STREAM_SQL
@@ -28,8 +30,9 @@ RECORD_START = r"\A\d{4}-\d\d-\d\d \d\d:"
 
 @query("read_lines", """SELECT 'events' AS source, count(*) AS lines, CAST(sum(length(props)) AS BIGINT) AS chars FROM events""")
 def line_totals(t):
-    lines = t.events.select(F.lit("events").alias("source"), "props")
-    return q.group_by(lines, "source", {"lines": count_all(), "chars": F.sum(F.length("props"))})
+    path = scratch_path(t.spark, "lines")
+    t.events.select("props").write.text(path)
+    return q.group_by(read_lines(t.spark, path), {"source": F.lit("events")}, {"lines": count_all(), "chars": F.sum(F.length("line"))})
 
 
 @query("frame_log_lines", f"""SELECT source, event_id * 8 AS frame_start, CASE WHEN exception IS NULL THEN 1 ELSE 3 END AS n_lines,
@@ -152,13 +155,13 @@ def parse_clef(t):
                          "trace_id", prop("value", "double").alias("value"))
 
 
-@query("validate_clef", """SELECT event_id, CASE event_type WHEN 'view' THEN 'missing `@t` timestamp property' WHEN 'error' THEN 'JSON parsing failure'
-    WHEN 'signup' THEN 'unparseable `@t` timestamp value' WHEN 'purchase' THEN 'unexpected token type' END AS reason FROM events""")
+@query("validate_clef", """SELECT event_id, CASE event_type WHEN 'view' THEN 'no time' WHEN 'error' THEN 'not JSON'
+    WHEN 'signup' THEN 'a time that cannot be read' WHEN 'purchase' THEN 'JSON, but not an object' END AS reason FROM events""")
 def validate_clef(t):
     return clef.validate_clef(t.raw_lines).select("event_id", "reason")
 
 
-@query("validate_size_limit", """SELECT doc_id, CASE WHEN strlen(to_json({'t': text})) + 1 > 4096 THEN 'an event exceeds the configured size limit' END AS reason FROM documents""")
+@query("validate_size_limit", """SELECT doc_id, CASE WHEN strlen(to_json({'t': text})) + 1 > 4096 THEN 'longer than an event may be' END AS reason FROM documents""")
 def validate_size_limit(t):
     line = F.to_json(F.struct(F.col("text").alias("@t")))
     checked = t.table("documents").select("doc_id", F.when(
@@ -166,8 +169,8 @@ def validate_size_limit(t):
     return checked
 
 
-@query("rejection_log", """SELECT CASE event_type WHEN 'view' THEN 'missing `@t` timestamp property' WHEN 'error' THEN 'JSON parsing failure'
-    WHEN 'signup' THEN 'unparseable `@t` timestamp value' ELSE 'unexpected token type' END AS reason, event_type AS source, count(*) AS n, max(event_id) AS latest,
+@query("rejection_log", """SELECT CASE event_type WHEN 'view' THEN 'no time' WHEN 'error' THEN 'not JSON'
+    WHEN 'signup' THEN 'a time that cannot be read' ELSE 'JSON, but not an object' END AS reason, event_type AS source, count(*) AS n, max(event_id) AS latest,
     CASE event_type WHEN 'view' THEN '{"n":' || max(event_id) || '}' WHEN 'error' THEN '{"n":' || max(event_id)
       WHEN 'signup' THEN '{"@t":"not a time ' || max(event_id) || '"}' ELSE '["' || max(event_id) || '"]' END AS document_start
     FROM events WHERE event_type <> 'click' GROUP BY event_type""")
@@ -242,17 +245,20 @@ def render_messages(t):
     return ingest.render_messages(rows).select("id", "message")
 
 
-@query("arrival_order")
+@query("arrival_order", f"SELECT id, {stamp_sql('ts')} AS ts, id AS second FROM stream", STREAM_SQL)
 def arrival_order(t):
-    return ingest.arrival_order(t.stream.select("id", "ts"))
+    rows = ingest.arrival_order(t.stream.select("id", "ts"), "ts", "id")
+    return rows.select("id", stamp("arrived.ts", "ts"), F.col("arrived.id").alias("second"))
 
 
 @query("clef_export", """SELECT '{"@l":"Error","@mt":"User {user_id} did error","@t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z","@x":"' || exception || '","id":"'
     || id || '","user":' || user_id || '}' AS line FROM stream WHERE level = 'Error'
+    UNION ALL SELECT '{"@l":"' || level || '","@mt":"User {user_id} did ' || event_type || '","@t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z","id":"' || id || '","user":' || user_id || '}'
+    FROM stream WHERE level NOT IN ('Error', 'Information')
     UNION ALL SELECT '{"@mt":"User {user_id} did signup","@t":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z","id":"' || id || '","user":' || user_id || '}'
     FROM stream WHERE level = 'Information'""", STREAM_SQL)
 def clef_export(t):
-    rows = t.stream.where(F.col("level").isin("Error", "Information")).select(
+    rows = t.stream.select(
         "ts", "level", "message_template", "exception",
         F.to_variant_object(F.struct("id", F.col("user_id").alias("user"))).alias("properties"))
     return rows.select(sinks.clef_line(rows).alias("line"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.values import prop
+from ..functions.values import prop, template_id_of
 from ..operators import discovery, lifecycle
 from ..operators.signals import catalogue
 from .benchmark_queries import stamp, stamp_sql
@@ -12,9 +12,12 @@ from .registry import query
 from .views import STREAM_SQL
 
 
-@query("property_paths", """SELECT unnest(['Detail', 'Detail.Origin', 'Detail.Origin.Kind', 'Detail.k', 'Items', 'event_type', 'user_id', 'value']) AS path""")
+@query("property_paths", """SELECT DISTINCT path FROM (SELECT unnest(list_filter([
+      CASE WHEN event_type IS NOT NULL THEN 'event_type' END, CASE WHEN user_id IS NOT NULL THEN 'user_id' END, CASE WHEN value IS NOT NULL THEN 'value' END,
+      'Detail', 'Items', CASE WHEN k IS NOT NULL THEN 'Detail.k' END, CASE WHEN id IS NOT NULL THEN 'Detail.Origin' END,
+      CASE WHEN event_type IS NOT NULL THEN 'Detail.Origin.Kind' END], lambda p: p IS NOT NULL)) AS path FROM stream)""", STREAM_SQL)
 def property_paths(t):
-    return discovery.property_paths(t.spread_stream)
+    return discovery.property_paths(t.stream)
 
 
 @query("property_paths_from_names", """SELECT path FROM (
@@ -26,21 +29,21 @@ def property_paths_from_names(t):
     return discovery.property_paths(rows)
 
 
-@query("available_properties", "SELECT unnest(['Detail', 'Items', 'event_type', 'user_id', 'value']) AS name")
+@query("available_properties", """SELECT DISTINCT name FROM (SELECT unnest(list_filter([CASE WHEN event_type IS NOT NULL THEN 'event_type' END,
+      CASE WHEN user_id IS NOT NULL THEN 'user_id' END, CASE WHEN value IS NOT NULL THEN 'value' END, 'Detail', 'Items'], lambda p: p IS NOT NULL)) AS name FROM stream)""", STREAM_SQL)
 def available_properties(t):
-    return discovery.available_properties(t.spread_stream)
+    return discovery.available_properties(t.stream)
 
 
-@query("space_by_template", """SELECT count(*) AS occurrences, CAST(sum(length('{"id":"' || id || '","message_template":"' || message_template || '","level":"' || level
-      || '","user_id":' || user_id || '}')) AS BIGINT) AS total_chars, message_template FROM stream GROUP BY message_template""", STREAM_SQL)
-def space_by_template(t):
-    from ..functions.values import template_id
-    from ..operators import query as q
+# DuckDB has no CRC-32: the type ids of the five templates of the given events.
+TYPE_IDS_SQL = " ".join(f"WHEN '{kind}' THEN {template_id_of(f'User {{user_id}} did {kind}')}" for kind in ("click", "error", "purchase", "signup", "view"))
+
 
+@query("space_by_template", f"""SELECT count(*) AS occurrences, CAST(sum(length('{{"id":"' || id || '","message_template":"' || message_template || '","level":"' || level
+      || '","user_id":' || user_id || ',"event_type_id":' || CASE event_type {TYPE_IDS_SQL} END || '}}')) AS BIGINT) AS total_chars, message_template FROM stream GROUP BY message_template""", STREAM_SQL)
+def space_by_template(t):
     # Only text and whole numbers: engines print fractions and times in their own ways.
-    sized = q.event_as_object(t.stream.select("id", "message_template", "level", "user_id"))
-    rows = q.group_by(sized, {"type": template_id(F.col("message_template")), "message_template": F.col("message_template")},
-                      {"occurrences": F.count(F.lit(1)), "total_chars": F.sum("json_chars")})
+    rows = discovery.space_by_template(t.stream.select("id", "message_template", "level", "user_id", "event_type_id"))
     return rows.select("occurrences", "total_chars", "message_template")
 
 

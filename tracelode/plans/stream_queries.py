@@ -59,8 +59,8 @@ def stream_dedupe(t):
 
 @query("stream_ingest", """SELECT json_extract_string(json('{"n":' || event_id || '}'), '$.n')::BIGINT AS n, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS ts,
     'Information' AS level, NULL AS reason FROM events WHERE event_type = 'click'
-    UNION ALL SELECT NULL, NULL, NULL, CASE event_type WHEN 'view' THEN 'missing `@t` timestamp property' WHEN 'error' THEN 'JSON parsing failure'
-    WHEN 'signup' THEN 'unparseable `@t` timestamp value' ELSE 'unexpected token type' END FROM events WHERE event_type <> 'click'""")
+    UNION ALL SELECT NULL, NULL, NULL, CASE event_type WHEN 'view' THEN 'no time' WHEN 'error' THEN 'not JSON'
+    WHEN 'signup' THEN 'a time that cannot be read' ELSE 'JSON, but not an object' END FROM events WHERE event_type <> 'click'""")
 def stream_ingest(t):
     base = scratch_path(t.spark, "ingest")
     lines = _live(t, lambda x: x.raw_lines).select("line", "source")

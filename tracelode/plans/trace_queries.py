@@ -12,6 +12,9 @@ from .registry import query
 from .views import HISTOGRAM_CELLS_SQL, LOGS_SQL, SPANS_SQL, STREAM_SQL
 
 
+HELD_SPANS_SQL = SPANS_SQL + ", held AS MATERIALIZED (SELECT trace_id, span_id, parent_id, service, message FROM spans)"
+
+
 @query("lateral_unnest", "SELECT id, unnest([user_id, k]) AS item FROM stream", STREAM_SQL)
 def lateral_unnest(t):
     return joins.lateral_unnest(t.stream, prop("Items", "array<bigint>"), "item").select("id", "item")
@@ -32,7 +35,7 @@ def lateral_buckets(t):
 
 
 @query("span_parents", """SELECT s.span_id, s.trace_id, p.service AS parent_service, p.message AS parent_message
-    FROM spans s LEFT JOIN spans p ON s.trace_id = p.trace_id AND s.parent_id = p.span_id""", SPANS_SQL)
+    FROM held s LEFT JOIN held p ON s.trace_id = p.trace_id AND s.parent_id = p.span_id""", HELD_SPANS_SQL)
 def span_parents(t):
     return joins.span_parents(t.spans, ("service", "message")).select("span_id", "trace_id", "parent_service", "parent_message")
 
@@ -43,9 +46,8 @@ def logs_in_spans(t):
     return joins.logs_in_spans(t.logs, t.spans, ("service", "message")).select("id", "level", "span_service", "span_message")
 
 
-@query("orphan_spans", """SELECT span_id, parent_id FROM kept k WHERE parent_id IS NOT NULL AND NOT EXISTS (
-    SELECT 1 FROM kept p WHERE p.trace_id = k.trace_id AND p.span_id = k.parent_id)""",
-       SPANS_SQL + ", kept AS (SELECT * FROM spans WHERE service <> '1-URGENT')")
+@query("orphan_spans", """SELECT k.span_id, k.parent_id FROM kept k LEFT JOIN kept p ON p.trace_id = k.trace_id AND p.span_id = k.parent_id
+    WHERE k.parent_id IS NOT NULL AND p.span_id IS NULL""", SPANS_SQL + ", kept AS MATERIALIZED (SELECT trace_id, span_id, parent_id FROM spans WHERE service <> '1-URGENT')")
 def orphan_spans(t):
     return joins.orphan_spans(t.spans.where(F.col("service") != "1-URGENT")).select("span_id", "parent_id")
 
@@ -64,7 +66,7 @@ def with_elapsed(t):
 
 @query("trace_spans", f"""SELECT span_id, parent_id, service, message AS span_name, span_kind AS kind, {stamp_sql("start")} AS start,
     strftime(start, '%Y-%m-%dT%H:%M:%S.%f') || '0Z' AS start_iso, elapsed_us / 1000.0 AS ms FROM spans
-    WHERE trace_id = '00000000000000000000000000000005' ORDER BY spans.start, span_id LIMIT 1000""", SPANS_SQL)
+    WHERE trace_id = '00000000000000000000000000000005' ORDER BY spans.start, span_id""", SPANS_SQL)
 def trace_spans(t):
     rows = tracing.trace_spans(t.spans, "00000000000000000000000000000005")
     return rows.select("span_id", "parent_id", "service", "span_name", "kind", stamp("start"), "start_iso", "ms")
@@ -81,6 +83,6 @@ def trace_tree(t):
 @query("latency_by_service", """SELECT service, spans, floor(p_us / 1000 * 100.0 + 0.5) / 100.0 AS p_ms, floor(max_us / 1000 * 100.0 + 0.5) / 100.0 AS max_ms FROM (
     SELECT service, max(total) AS spans, min(us) FILTER (WHERE rn >= greatest(1, ceil(95 * total / 100.0))) AS p_us, max(us) AS max_us FROM (
       SELECT service, CAST(elapsed_us AS DOUBLE) AS us, row_number() OVER (PARTITION BY service ORDER BY elapsed_us) AS rn, count(*) OVER (PARTITION BY service) AS total
-      FROM spans) GROUP BY 1) WHERE spans > 50 ORDER BY p_ms DESC, service LIMIT 100""", SPANS_SQL)
+      FROM spans) GROUP BY 1) ORDER BY p_ms DESC, service""", SPANS_SQL)
 def latency_by_service(t):
     return tracing.latency_by_service(t.spans)

@@ -7,22 +7,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the operators are planned for. Partition counts are left to adaptive execution:
-# a large initial number is coalesced on small inputs and keeps partitions small on big ones.
+# Settings the operators are planned for. Partition counts are left to adaptive execution, which
+# coalesces them. On a cluster start high, with INITIAL_PARTITIONS or more; a local session keeps its own number.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # An object that repeats a key is valid; its last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+INITIAL_PARTITIONS = 4096
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that results or plans depend on."""
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if not spark.sparkContext.master.startswith("local") and spark.conf.get(initial, None) is None:
+        spark.conf.set(initial, str(INITIAL_PARTITIONS))
     return spark
 
 

@@ -12,12 +12,12 @@ from .lines import read_lines, strip_bom
 
 EVENT_LIMIT_BYTES = 256 * 1024
 
-# Why a line is rejected.
-TOO_LARGE = "an event exceeds the configured size limit"
-BAD_JSON = "JSON parsing failure"
-NOT_OBJECT = "unexpected token type"
-NO_TIMESTAMP = "missing `@t` timestamp property"
-BAD_TIMESTAMP = "unparseable `@t` timestamp value"
+# Why a line is rejected.
+TOO_LARGE = "longer than an event may be"
+BAD_JSON = "not JSON"
+NOT_OBJECT = "JSON, but not an object"
+NO_TIMESTAMP = "no time"
+BAD_TIMESTAMP = "a time that cannot be read"
 
 
 def _reserved(event: Column, key: str, kind: str = "string") -> Column:
@@ -53,10 +53,11 @@ def split_valid(df: DataFrame, line: str = "line", limit: int = EVENT_LIMIT_BYTE
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
-def rejection_log(rejected: DataFrame, source: str = "source", line: str = "line", at: str | None = None) -> DataFrame:
-    """Rejected lines by reason and source, the most recent group first, with one payload's first 1024 characters."""
+def rejection_log(rejected: DataFrame, source: str = "source", line: str = "line", at: str | None = None,
+                  chars: int | None = None) -> DataFrame:
+    """Rejected lines by reason and source, the most recent group first, with one payload (its first ``chars`` characters, if given)."""
     when = F.col(at) if at else F.monotonically_increasing_id()
-    staged = rejected.select("reason", F.col(source).alias("source"), F.left(F.col(line), F.lit(1024)).alias("start"),
+    staged = rejected.select("reason", F.col(source).alias("source"), (F.col(line) if chars is None else F.left(F.col(line), F.lit(chars))).alias("start"),
                              when.alias("_at"))
     counted = staged.groupBy("reason", "source").agg(
         F.count(F.lit(1)).alias("n"), F.max("_at").alias("latest"),
@@ -116,7 +117,7 @@ def read_clef(spark: SparkSession, paths, invalid: str = "fail", reference_time=
     if invalid == "ignore":
         lines = lines.where(good)
     else:
-        message = F.concat(F.lit("The line is not a JSON object: "), F.left(F.col("line"), F.lit(1024)))
+        message = F.concat(F.lit("The line is not a JSON object: "), F.col("line"))
         lines = lines.withColumn("line", F.when(good, F.col("line")).otherwise(F.raise_error(message)))
     # The split a line comes from makes its id differ from those of other files and earlier runs.
     origin = F.concat_ws("#", "source", "block")
