@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.logic import is_true, op_not
 from ..functions.times import duration_us, from_us, ticks_us
-from ..model import DATE_COLUMN
+from ..model import BATCH_COLUMN, DATE_COLUMN
+from ..session import delete_folder, move_folder
 from .signals import Signal, signal_column
 
 
@@ -62,38 +64,69 @@ def apply_retention(df: DataFrame, policies: list[RetentionPolicy], now, source:
     return df
 
 
-def _drop_partitions(spark: SparkSession, path: str, dates: list[dt.date]) -> None:
-    jvm = spark._jvm
-    for date in dates:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{DATE_COLUMN}={date.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _partition_columns(table: DataFrame) -> list[str]:
+    """The date, and the batch of tables that are written by a stream."""
+    return [c for c in (DATE_COLUMN, BATCH_COLUMN) if c in table.columns]
+
+
+def _folder(row, columns: list[str]) -> str:
+    return "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else row[c]}" for c in columns)
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, columns: list[str], touched: list) -> None:
+    """Puts ``rows`` in the place of the touched partitions. They are written aside, in a folder that readers
+    skip, and only then moved in, one whole partition at a time; those without rows go."""
+    aside = f"{path.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
+    try:
+        rows.hint("rebalance", *columns).write.partitionBy(*columns).option("parquet.bloom.filter.enabled#trace_id", "true").parquet(aside)
+        for row in touched:
+            move_folder(spark, f"{aside}/{_folder(row, columns)}", f"{path.rstrip('/')}/{_folder(row, columns)}")
+    finally:
+        delete_folder(spark, aside)
+
+
+def _within(columns: list[str], touched: list) -> Column:
+    """Rows of some partitions, those without a date included."""
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in columns]) for r in touched], F.lit(False))
 
 
 def delete_from_table(spark: SparkSession, path: str, predicate: Column | None = None, start=None, end=None,
                       signal: Signal | Column | None = None) -> int:
-    """Deletes from a table written by ``write_events`` and returns how many events went.
+    """Deletes from a table written by ``write_events`` or ``ingest_stream`` and returns how many events went.
 
-    Only dates that hold a matching event are rewritten; dates left empty are dropped. What the
-    driver sees is one row per touched date.
+    Only partitions that hold a matching event are rewritten; those left empty are dropped. Events without
+    a time match no range, and otherwise count like all others. The driver sees one row per touched partition.
     """
     table = spark.read.parquet(path)
+    columns = _partition_columns(table)
     if start is not None:
         table = table.where(F.col(DATE_COLUMN) >= F.lit(start).cast("timestamp").cast("date"))
     if end is not None:
         table = table.where(F.col(DATE_COLUMN) <= F.lit(end).cast("timestamp").cast("date"))
-    doomed = _matching(predicate, start, end, signal)
-    touched = (table.groupBy(DATE_COLUMN)
-               .agg(F.count(F.lit(1)).alias("n"), F.count_if(doomed).alias("gone"))
-               .where(F.col("gone") > 0).collect())
-    emptied = [r[DATE_COLUMN] for r in touched if r["n"] == r["gone"]]
-    thinned = [r[DATE_COLUMN] for r in touched if r["n"] > r["gone"]]
-    if thinned:
-        (table.where(F.col(DATE_COLUMN).isin(thinned)).where(op_not(doomed)).hint("rebalance", DATE_COLUMN)
-         .write.partitionBy(DATE_COLUMN).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
-    _drop_partitions(spark, path, emptied)
+    doomed = is_true(_matching(predicate, start, end, signal))
+    touched = table.groupBy(*columns).agg(F.count_if(doomed).alias("gone")).where(F.col("gone") > 0).collect()
+    if touched:
+        _replace(spark, path, table.where(_within(columns, touched)).where(~doomed), columns, touched)
     return sum(r["gone"] for r in touched)
 
 
+def compact_table(spark: SparkSession, path: str) -> int:
+    """Joins the batches of each date of a streamed table into its last one; returns how many dates were rewritten."""
+    table = spark.read.parquet(path)
+    columns = _partition_columns(table)
+    if BATCH_COLUMN not in columns:
+        return 0
+    many = (table.groupBy(DATE_COLUMN).agg(F.collect_set(BATCH_COLUMN).alias("batches"), F.max(BATCH_COLUMN).alias(BATCH_COLUMN))
+            .where(F.size("batches") > 1).collect())
+    if many:
+        rows = table.where(_within([DATE_COLUMN], many))
+        newest = spark.createDataFrame([(r[DATE_COLUMN], r[BATCH_COLUMN]) for r in many], f"_date date, _batch {dict(table.dtypes)[BATCH_COLUMN]}")
+        rows = rows.join(newest, F.col(DATE_COLUMN).eqNullSafe(F.col("_date"))).withColumn(BATCH_COLUMN, F.col("_batch")).drop("_date", "_batch")
+        touched = [{DATE_COLUMN: r[DATE_COLUMN], BATCH_COLUMN: b} for r in many for b in r["batches"]]
+        _replace(spark, path, rows.select(*table.columns), columns, touched)
+    return len(many)
+
+
 def retain_in_table(spark: SparkSession, path: str, policies: list[RetentionPolicy], now, source: str = "stream") -> int:
     """Applies retention to a table. Only dates before the limit are looked at."""
     removed = 0

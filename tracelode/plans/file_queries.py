@@ -104,6 +104,22 @@ def delete_from_table(t):
     return t.spark.read.parquet(path).select("id", "level")
 
 
+@query("delete_from_streamed_table", """SELECT n FROM (SELECT event_id AS n, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'click')
+    WHERE NOT (ts < TIMESTAMP '2024-01-20' AND n % 3 = 0) AND NOT (ts >= TIMESTAMP '2024-01-25')""")
+def delete_from_streamed_table(t):
+    """Deletion from, and compaction of, the table that a stream has written."""
+    from ..streaming import ingestion
+
+    base = scratch_path(t.spark, "streamed")
+    sinks_in = t.raw_lines.where(F.col("source") == "click").select("line")
+    sinks_in.repartition(3).write.text(f"{base}/in")
+    ingestion.ingest_stream(t.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_trigger=2, available_now=True).awaitTermination()
+    lifecycle.delete_from_table(t.spark, f"{base}/out", prop("n", "bigint") % 3 == 0, end="2024-01-20")
+    lifecycle.compact_table(t.spark, f"{base}/out")
+    lifecycle.delete_from_table(t.spark, f"{base}/out", start="2024-01-25")
+    return t.spark.read.parquet(f"{base}/out").select(prop("n", "bigint").alias("n"))
+
+
 @query("retain_in_table", "SELECT id, level FROM stream WHERE ts >= TIMESTAMP '2024-01-11' AND NOT (ts < TIMESTAMP '2024-01-21' AND level = 'warn')", STREAM_SQL)
 def retain_in_table(t):
     path = scratch_path(t.spark, "retain")

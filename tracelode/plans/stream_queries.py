@@ -42,11 +42,12 @@ def stream_tail(t):
 
 @query("stream_time_slices", f"""SELECT event_type, {stamp_sql("time")} AS time, n, total FROM (
     SELECT event_type, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS time, count(*) AS n, round(sum(value), 4) AS total FROM stream GROUP BY 1, 2)
-    WHERE time + INTERVAL '6 hours' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10 minutes' FROM stream)""", STREAM_SQL)
+    """, STREAM_SQL)
 def stream_time_slices(t):
     events = _live(t, lambda x: x.stream.select("ts", "event_type", "value"))
-    slices = live.stream_time_slices(events, "6h", {"n": a.count_all(), "total": F.sum("value")}, "event_type", start="2024-01-01")
-    rows = _drained(t, slices.drop("_window"), "slices")
+    base = scratch_path(t.spark, "slices")
+    rows = live.drain_time_slices(events, t.stream.select("ts", "event_type", "value"), f"{base}/out", f"{base}/checkpoint", "6h",
+                                  {"n": a.count_all(), "total": F.sum("value")}, "event_type", start="2024-01-01")
     return rows.select("event_type", stamp("time"), "n", F.round("total", 4).alias("total"))
 
 

@@ -64,3 +64,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def move_folder(spark: SparkSession, old: str, new: str) -> bool:
+    """Puts a folder in the place of another one. False, and nothing there any more, if the old one is absent."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    return files.exists(source) and files.rename(source, target)

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.levels import normalise_level
 from ..operators.alerts import Alert, alert_input, notify, suppress
+from ..session import delete_folder
 from .live import stream_time_slices
 
 SPOKEN_SCHEMA = "alert STRING, time TIMESTAMP"
@@ -50,6 +51,8 @@ def stream_alert(stream: DataFrame, alert: Alert, out_path: str, state: str, che
             rows = fired.join(spoken, ["alert", "time"], "left_semi")
             notify(rows, alert.channels).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
             spoken.unpersist()
+            if batch_id > 1:  # a repeated batch needs the state before it, and no older one
+                delete_folder(spark, f"{state}/batch={batch_id - 2}")
         finally:
             fired.unpersist()
 

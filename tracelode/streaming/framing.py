@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import duration_us
 from ..operators.framing import frame_lines
+from ..session import delete_folder
 
 HELD_SCHEMA = "source STRING, line_no BIGINT, line STRING, held_at TIMESTAMP"
 
@@ -47,12 +48,19 @@ def frame_stream(lines: DataFrame, start_regex: str, out_path: str, state: str,
             newest = (frames.where(~F.col("is_orphan")).groupBy("source").agg(F.max("frame_start").alias("frame_start")))
             last = frames.join(newest, ["source", "frame_start"], "left_semi")
             closed = frames.join(newest, ["source", "frame_start"], "left_anti").select("source", "frame_start", "text", "is_orphan")
-            (last.select("source", F.col("frame_start").alias("line_no"), F.expr("left(text, length(text) - 1)").alias("line"),
-                         F.lit(now).cast("timestamp").alias("held_at"))
+            open_ = last.select("source", F.col("frame_start").alias("line_no"), F.expr("left(text, length(text) - 1)").alias("line"))
+            since = F.lit(now).cast("timestamp")
+            if batch_id > 0:  # a record that didn't grow has waited since it was first held
+                before = held.select("source", "line_no", F.col("line").alias("_line"), F.col("held_at").alias("_since"))
+                open_ = open_.join(before, ["source", "line_no"], "left")
+                since = F.when(F.col("_line") == F.col("line"), F.col("_since")).otherwise(since)
+            (open_.select("source", "line_no", "line", since.alias("held_at"))
              .write.mode("overwrite").parquet(_held_path(state, batch_id)))
             if done is not None:
                 closed = closed.unionByName(done)
             closed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            if batch_id > 1:  # a repeated batch needs the state before it, and no older one
+                delete_folder(spark, _held_path(state, batch_id - 2))
         finally:
             frames.unpersist()
 

@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import DATE_COLUMN
+from ..model import BATCH_COLUMN, DATE_COLUMN
 from ..operators.ingest import sanitise_trace_ids
 from ..sources.clef import EVENT_LIMIT_BYTES, parse_clef, rejection_reason
 
-BATCH_COLUMN = "batch"
-
 
 def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None) -> DataFrame:
     """Lines of the files that arrive in a folder, with the file they came from."""
@@ -30,8 +28,9 @@ def ingest_lines(lines: DataFrame, out_path: str, checkpoint: str, quarantine: s
                  available_now: bool = False) -> StreamingQuery:
     """Validates, parses, enriches and appends lines; rejected ones go to a quarantine table.
 
-    Delivery is at least once: a batch that was cut short is repeated from the checkpoint. Each
-    batch owns a partition that it overwrites, so a repeat replaces its first attempt.
+    Delivery is at least once: a batch that was cut short is repeated from the checkpoint. Within each date
+    a batch owns a partition that it overwrites, so a repeat replaces its first attempt. Dates come first,
+    as in tables of ``write_events``; ``compact_table`` joins the batches of a date.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumns({"reason": rejection_reason(F.col("line"), limit), "_n": F.monotonically_increasing_id()})
@@ -43,8 +42,9 @@ def ingest_lines(lines: DataFrame, out_path: str, checkpoint: str, quarantine: s
             if enrich is not None:
                 events = enrich(events)
             (events.withColumn("id", F.format_string(f"{batch_id:08x}-%s", "id"))
-             .withColumn(DATE_COLUMN, F.col("ts").cast("date"))
-             .write.partitionBy(DATE_COLUMN).mode("overwrite").parquet(f"{out_path}/{BATCH_COLUMN}={batch_id}"))
+             .withColumns({DATE_COLUMN: F.col("ts").cast("date"), BATCH_COLUMN: F.lit(batch_id).cast("bigint")})
+             .hint("rebalance", DATE_COLUMN).write.partitionBy(DATE_COLUMN, BATCH_COLUMN)
+             .option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#trace_id", "true").mode("overwrite").parquet(out_path))
             if quarantine is not None:
                 (numbered.where(F.col("reason").isNotNull()).select("reason", "source", "line", F.current_timestamp().alias("at"))
                  .write.mode("overwrite").parquet(f"{quarantine}/{BATCH_COLUMN}={batch_id}"))

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import duration_us
+from ..functions.times import duration_us, ticks_us
 from ..operators.filters import apply_signal
+from ..operators.query import slice_start, time_slices
 from ..operators.signals import Signal
 
 log = logging.getLogger(__name__)
@@ -82,6 +83,25 @@ def start_to_table(stream: DataFrame, path: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def drain_time_slices(stream: DataFrame, rows: DataFrame, path: str, checkpoint: str, every, aggs: dict[str, Column], by=None,
+                      watermark: str = "10 minutes", start=None, ts: str = "ts") -> DataFrame:
+    """All slices of a stream that has ended: those it closed, and those still open when its input ended.
+
+    The open ones are taken from ``rows``, the same source as a table; only what comes after the last closed
+    slice is read.
+    """
+    slices = stream_time_slices(stream, every, aggs, by, watermark, start, ts).drop("_window")
+    query = start_to_table(slices, path, checkpoint, available_now=True)
+    query.awaitTermination()
+    closed = stream.sparkSession.read.schema(slices.schema).parquet(path)
+    reached = next((p["eventTime"]["watermark"] for p in reversed(query.recentProgress) if "watermark" in p["eventTime"]), "1970-01-01T00:00:00.000Z")
+    mark = F.lit(reached).cast("timestamp")
+    open_ = rows.where(F.col(ts) >= slice_start(mark, every, start))
+    open_ = time_slices(open_, every, start, by=by, aggs=aggs, ts=ts)
+    still = ticks_us(F.col("time")) + duration_us(every) > ticks_us(mark)
+    return closed.unionByName(open_.where(still).select(*closed.columns))
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Processes everything that is available and reads the resulting table."""
     spark: SparkSession = stream.sparkSession
