@@ -189,12 +189,20 @@ def _coarser(index: Column, steps) -> Column:
 
 def _coarsened(counted: DataFrame, names: list[str], scale: int, target: int) -> DataFrame:
     """Counted buckets at the highest scale that keeps each group within ``target`` buckets."""
-    # At scale -11 one bucket spans the whole range of a double on either side of 1.
-    steps = F.explode(F.sequence(F.lit(0), F.lit(scale + 11)))
-    sizes = (counted.select(*names, "_i", steps.alias("_k"))
+    # At scale -11 one bucket spans the whole range of a double on either side of 1. A group needs fewer
+    # tries: a step at most halves its buckets, and buckets never outnumber the indices they lie between.
+    target, most = max(target, 2), scale + 11
+    log2 = lambda x: F.ceil(F.log2(F.greatest(x, F.lit(1.0)))).cast("int")
+    bounds = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("_d"), (F.max("_i") - F.min("_i")).alias("_range"))
+    enough = log2(F.col("_range") / float(target - 2)) if target > 2 else F.lit(most)
+    least = F.least(F.lit(most), log2(F.col("_d") / float(target)))
+    bounds = bounds.select(*[F.col(n).alias(f"_r_{n}") for n in names], least.alias("_first"), F.greatest(least, F.least(F.lit(most), enough)).alias("_last"))
+    same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
+    sizes = (counted.select(*names, "_i").join(bounds, same)
+             .select(*names, "_i", F.explode(F.sequence("_first", "_last")).alias("_k"))
              .select(*names, "_k", _coarser(F.col("_i"), F.col("_k")).alias("_j")).distinct()
              .groupBy(*names, "_k").agg(F.count(F.lit(1)).alias("_size")))
-    chosen = sizes.where(F.col("_size") <= max(target, 2)).groupBy(*names).agg(F.min("_k").alias("_k"))
+    chosen = sizes.where(F.col("_size") <= target).groupBy(*names).agg(F.min("_k").alias("_k"))
     renamed = chosen.withColumnsRenamed({n: f"_r_{n}" for n in names})
     on = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
     return (counted.join(renamed, on)
