@@ -187,6 +187,18 @@ class Suffixes:
         return rows[(self.left[rows] >= offset) & (self.right[rows] >= self.length - offset)]
 
 
+def _united(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping extents of a row as one."""
+    if not len(row):
+        return row, lo, hi
+    apart = row * (int(hi.max() - lo.min()) + 2)
+    order = np.argsort(lo + apart, kind="stable")
+    row, start, apart = row[order], (lo + apart)[order], apart[order]
+    reach = np.maximum.accumulate(hi[order] + apart)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return row[first], (start - apart)[first], np.append(reach[first[1:] - 1], reach[-1]) - apart[first]
+
+
 def _repeated(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["gram"]):
@@ -204,7 +216,7 @@ def _repeated(length: int, gram: int):
             for g in np.flatnonzero(size > PAIRED_KINDS):
                 own = np.arange(bounds[g], bounds[g + 1])
                 out += _by_offset(own, before, texts, length, gram)
-            row, lo, hi = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+            row, lo, hi = _united(*(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array(grams[row]), pa.array(kinds[row]), pa.array(lo), pa.array(hi)], names=["gram", "kind", "lo", "hi"])
     return run
 
@@ -226,6 +238,7 @@ def _by_offset(own: np.ndarray, before: np.ndarray, texts, length: int, gram: in
                 rows = s.whole(d, np.arange(len(cut)))
                 table[c, cut[rows]] = s.string_hashes(d, rows)
                 valid[c, cut[rows]] = True
+        found = []
         for c, d in enumerate(some):
             rows = np.flatnonzero(valid[c])
             order = rows[np.argsort(table[c, rows], kind="stable")]
@@ -234,7 +247,8 @@ def _by_offset(own: np.ndarray, before: np.ndarray, texts, length: int, gram: in
             twin[order[1:][same]] = True
             twin[order[:-1][same]] = True
             hit = np.flatnonzero(twin)
-            yield own[hit], np.full(len(hit), -d), np.full(len(hit), length - d)
+            found.append((own[hit], np.full(len(hit), -d), np.full(len(hit), length - d)))
+        yield _united(*(np.concatenate([x[k] for x in found]) for k in range(3)))
 
 
 def _strings(length: int, gram: int):
@@ -291,8 +305,8 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
         twice = strings.groupBy("string").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("string")
         found = found.union(strings.join(twice, "string").select("gram", "kind", -F.col("offset"), F.lit(length) - F.col("offset")))
     whole = kinds.where("n > 1").select("gram", "kind", F.lit(gram - length).cast("bigint").alias("lo"), F.lit(length).cast("bigint").alias("hi"))
-    extents = members.join(found.union(whole).distinct(), ["gram", "kind"]).select("k", "t", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-    extents = extents.distinct().groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("__wanted"))
+    extents = members.join(found.union(whole), ["gram", "kind"]).select("k", "t", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    extents = extents.groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("__wanted"))
     id_type = dict(known.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
