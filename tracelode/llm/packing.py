@@ -26,8 +26,10 @@ from .blocks import column, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Marks at the end of a word that the tokenizer parts from letters before them.
+MARKS = ".,;:!?"
+#: Words, and parts of words, whose ids a worker remembers at once; as many older ones are kept beside them.
+REMEMBERED = 400_000
 #: Lengths that patterns of three and four are built from.
 GRID = 24
 STEPS = 200
@@ -39,30 +41,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Remembered:
+    """A mapping of bounded size that forgets what wasn't asked for lately."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys that aren't known; after it, all others are in ``young``."""
+        new = keys - self.young.keys()
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young, new = self.young, {}, keys
+        found = new & self.old.keys()
+        self.young.update((k, self.old[k]) for k in found)
+        return new - found
+
+
 class _Ids:
     """Token ids of texts as little-endian 32-bit bytes, remembered by word.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its words. It also
+    parts letters from marks and ignores case, so a word of letters and marks is looked up in two parts.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_str(definition), _Remembered(), _Remembered()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, parts: set[str]) -> None:
+        """Encodes what isn't known yet. A run of letters ends with the one of its tokens that is marked as the end
+        of a word, so many of them are encoded as one text and told apart by that."""
+        new = sorted(self.parts.missing(parts))
+        words = [p for p in new if p.isalpha()]
+        alone = [p for p in new if not p.isalpha()]
+        for at in range(0, len(words), 512):
+            some = words[at:at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                alone += some
+                continue
+            data, at_byte = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.parts.young.update((p, data[a:b]) for p, a, b in zip(some, at_byte, at_byte[1:]))
+        for at in range(0, len(alone), 4096):
+            some = alone[at:at + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts.young[part] = np.array(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [t.split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set().union(*words))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        new = {}
+        for word in self.words.missing(set().union(*words)):
+            letters = word.rstrip(MARKS)
+            if letters.isalpha():
+                new[word] = (letters.lower() if letters.isascii() else letters, word[len(letters):])
+            else:
+                new[word] = (word, "")
+        self._encoded({p for pair in new.values() for p in pair if p})
+        parts, known = self.parts.young, self.words.young
+        for word, (letters, marks) in new.items():
+            known[word] = parts[letters] + parts[marks] if marks else parts[letters]
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 @lru_cache(2)
