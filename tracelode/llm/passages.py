@@ -131,7 +131,8 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, out = group_bounds(table, keys), []
         doc, first, at, first_at = (column(table, c).astype(np.int64) for c in ("doc_id", "first_id", "at", "first_at"))
         for s, e in zip(bounds[:-1], bounds[1:]):
-            for runs in chains(at[s:e], first_at[s:e]):
+            own = np.unique(np.stack([at[s:e], first_at[s:e]]), axis=1)  # repeated rows of a document repeat its seeds
+            for runs in chains(own[0], own[1]):
                 lo, hi = runs[0][0], runs[-1][1]
                 if hi - lo < MIN_CHAIN:
                     continue
@@ -254,9 +255,11 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
     texts = known.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
     seeds = texts.mapInArrow(_seeds, "seed bigint, doc_id bigint, at int")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    hits = cut_lineage(seeds.join(shared, "seed"), "seeds")
-    firsts = hits.where("doc_id = first_id").groupBy("seed").agg(F.min("at").alias("first_at"))
-    links = hits.where("doc_id > first_id").join(firsts, "seed").select("doc_id", "first_id", "at", "first_at").distinct()
+    # Aggregates are tables before they are joined: both sides of the join are then plain exchanges, and
+    # adaptive execution can split the rows of a seed that very many documents have.
+    hits = cut_lineage(seeds.join(cut_lineage(shared, "shared-seeds"), "seed"), "seeds")
+    firsts = cut_lineage(hits.where("doc_id = first_id").groupBy("seed").agg(F.min("at").alias("first_at")), "first-seeds")
+    links = hits.where("doc_id > first_id").join(firsts, "seed").select("doc_id", "first_id", "at", "first_at")
     found = cut_lineage(links.repartition("doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "at").mapInArrow(_chained, _CHAIN), "chains")
     wanted = (found.select(F.col("doc_id").alias("__doc"), "lo", "hi")
               .union(found.select("first_id", "first_lo", "first_hi")).distinct()
