@@ -74,3 +74,20 @@ def test_odd_rows(spark):
     assert left[3] == long and left[4].strip() == "" and WORD.findall(left[7]) == [] and left[2] == "few words"
     assert passages.shared_passages(docs(spark, [])).count() == 0
     assert passages.without_shared_passages(docs(spark, [])).count() == 0
+
+
+def spans(rows):
+    return sorted((r.doc_id, r.start, r.end) for r in rows)
+
+
+def test_two_passages_in_one_pair(spark):
+    one, two = prose(11, 60).split(), prose(12, 60).split()
+
+    def text(i, gap):
+        return " ".join(prose(100 + i, 30).split() + one + prose(200 + i, gap).split() + two + prose(300 + i, 30).split())
+
+    # Far apart, near enough for one run, on two diagonals; long passages with a long gap.
+    found = passages.shared_passages(docs(spark, [text(0, 100), text(1, 100)])).collect()
+    assert spans(found) == [(1, 30, 90), (1, 190, 250)] and {r.identity for r in found} == {1.0}
+    assert spans(passages.shared_passages(docs(spark, [text(2, 35), text(3, 35)])).collect()) == [(1, 30, 90), (1, 125, 185)]
+    assert spans(passages.shared_passages(docs(spark, [text(4, 100), text(5, 60)])).collect()) == [(1, 30, 90), (1, 150, 210)]

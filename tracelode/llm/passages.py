@@ -8,8 +8,8 @@
    one run to the next costs what it leaves out on either side, and the best predecessor of a run is a
    prefix maximum of a Fenwick tree over the positions in the first document.
 4. Chains are aligned word by word along their runs, one shift between two runs, and extended at both
-   ends. Those that agree well are passages of the later document; touching ones are merged, and what
-   has at least ``MIN_WORDS`` words is a fuzzy passage.
+   ends, and cut where the words between agree too little. Pieces that agree well are passages of the later
+   document; touching ones are merged, and what has at least ``MIN_WORDS`` words is a fuzzy passage.
 """
 
 from __future__ import annotations
@@ -160,18 +160,34 @@ def _requested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "lo", "hi", "words"])
 
 
-def _extended(equal: np.ndarray) -> int:
-    """How far an end is extended over words that agree or not: a difference costs as much as two agreeing words."""
-    if not len(equal):
-        return 0
-    score = np.cumsum(np.where(equal, 1, -2))
-    best = int(np.argmax(score))
-    return best + 1 if score[best] > 0 else 0
-
-
-def align(runs: list[tuple[int, int, int]], own: np.ndarray, own_at: int, first: np.ndarray, first_at: int) -> tuple[int, int, float]:
-    """(start, end, identity) of a chain in the later document.
+def _segments(equal: np.ndarray, cost: int) -> list[tuple[int, int]]:
+    """All maximal scoring segments (Ruzzo and Tompa) of columns that agree (+1) or not (-cost).
 
+    Every agreeing column is in one; two are one segment if the columns between cost less than either side scores.
+    """
+    bounds = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
+    total, at, held = 0, 0, []  # held: (start, end, score before, score after)
+    for s, e in zip(bounds[::2].tolist(), bounds[1::2].tolist()):
+        total -= cost * (s - at)
+        now, at = (s, e, total, total + e - s), e
+        total = now[3]
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= now[2]:
+                j -= 1
+            if j < 0 or held[j][3] >= now[3]:
+                break
+            now = (held[j][0], now[1], held[j][2], now[3])
+            del held[j:]
+        held.append(now)
+    return [(s, e) for s, e, _, _ in held]
+
+
+def align(runs: list[tuple[int, int, int]], own: np.ndarray, own_at: int, first: np.ndarray, first_at: int) -> list[tuple[int, int, float]]:
+    """(start, end, identity) of the pieces of a chain that agree well, in the later document.
+
+    A difference costs as much as two agreeing words, so a chain ends or is cut where words that differ cost more
+    than the words on either side score; a piece of less than ``IDENTITY`` is cut with a higher cost.
     ``own`` and ``first`` are word hashes from positions ``own_at`` and ``first_at`` on.
     """
     def agree(lo: int, hi: int, shift: int) -> np.ndarray:
@@ -183,24 +199,33 @@ def align(runs: list[tuple[int, int, int]], own: np.ndarray, own_at: int, first:
         return out
 
     start, end, shift = runs[0]
-    left = _extended(agree(start - MARGIN, start, shift)[::-1])
-    same, total = left, left
-    start -= left
-    inner = agree(runs[0][0], end, shift)
-    same, total = same + int(inner.sum()), total + len(inner)
+    places, equal = [np.arange(start - MARGIN, end)], [agree(start - MARGIN, end, shift)]
     for lo, hi, other in runs[1:]:
         if hi <= end:
             continue
         # One shift at the best place between the two runs; words that only one side has count as differing.
         begin = min(lo, end)
+        kept = places[-1] < begin
+        places[-1], equal[-1] = places[-1][kept], equal[-1][kept]
         gap_before, gap_after = agree(begin, hi, shift), agree(begin, hi, other)
         score = np.concatenate([[0], np.cumsum(gap_before)]) + np.concatenate([[0], np.cumsum(gap_after[::-1])])[::-1]
-        over = int(agree(begin, end, shift).sum())
-        same += int(score.max()) - over
-        total += hi - end + max(0, shift - other)
+        turn, extra = int(np.argmax(score)), max(0, shift - other)
+        places.append(np.concatenate([np.arange(begin, begin + turn), np.full(extra, begin + turn), np.arange(begin + turn, hi)]))
+        equal.append(np.concatenate([gap_before[:turn], np.zeros(extra, bool), gap_after[turn:]]))
         end, shift = hi, other
-    right = _extended(agree(end, end + MARGIN, shift))
-    return start, end + right, (same + right) / max(total + right, 1)
+    places = np.concatenate([*places, np.arange(end, end + MARGIN)])
+    equal = np.concatenate([*equal, agree(end, end + MARGIN, shift)])
+    out, open_ = [], [(0, len(equal), 2)]
+    while open_:
+        s, e, cost = open_.pop()
+        for lo, hi in _segments(equal[s:e], cost):
+            lo, hi = lo + s, hi + s
+            identity = float(equal[lo:hi].mean())
+            if identity < IDENTITY:
+                open_.append((lo, hi, cost + 1))
+            elif places[hi - 1] + 1 - places[lo] >= MIN_CHAIN:
+                out.append((int(places[lo]), int(places[hi - 1]) + 1, identity))
+    return sorted(out)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +234,8 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             flat = r["runs"]
             runs = list(zip(flat[::3], flat[1::3], flat[2::3]))
-            start, end, identity = align(runs, np.frombuffer(r["words"], np.uint32), r["lo"] * UNIT,
-                                         np.frombuffer(r["first_words"], np.uint32), r["first_lo"] * UNIT)
-            if identity >= IDENTITY:
+            for start, end, identity in align(runs, np.frombuffer(r["words"], np.uint32), r["lo"] * UNIT,
+                                              np.frombuffer(r["first_words"], np.uint32), r["first_lo"] * UNIT):
                 for x, v in zip(out, (r["doc_id"], start, end, r["first_id"], identity)):
                     x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 4, pa.float64()))],
