@@ -91,3 +91,15 @@ def test_two_passages_in_one_pair(spark):
     assert spans(found) == [(1, 30, 90), (1, 190, 250)] and {r.identity for r in found} == {1.0}
     assert spans(passages.shared_passages(docs(spark, [text(2, 35), text(3, 35)])).collect()) == [(1, 30, 90), (1, 125, 185)]
     assert spans(passages.shared_passages(docs(spark, [text(4, 100), text(5, 60)])).collect()) == [(1, 30, 90), (1, 150, 210)]
+
+
+def test_seeds_with_other_first_documents(spark):
+    passage = prose(21, 60).split()
+    # Every five words of the passage are in an earlier document of their own.
+    texts = [" ".join(prose(400 + i, 40).split() + passage[i:i + 5] + prose(500 + i, 40).split()) for i in range(56)]
+    texts += [" ".join(prose(600 + i, 30).split() + passage + prose(700 + i, 30).split()) for i in range(2)]
+    assert spans(passages.shared_passages(docs(spark, texts)).collect()) == [(57, 30, 90)]
+    # Every thirty words are in one as well: no earlier document but the first of two has all of it.
+    texts[:56] = [" ".join(prose(400 + i, 40).split() + passage[i:i + 30] + prose(500 + i, 40).split()) for i in range(0, 31, 5)]
+    found = spans(passages.shared_passages(docs(spark, texts)).collect())
+    assert (7, 30, 90) in found and (8, 30, 90) in found

@@ -3,7 +3,9 @@
 1. Seeds: of every ``WINDOW`` windows of ``SEED_WORDS`` words the one with the least hash, so equal runs
    of ``SEED_WORDS + WINDOW - 1`` words share a seed.
 2. A seed that several documents have links each of them to the first document that has it. That is one
-   row for each occurrence, however many documents share the seed.
+   row for each occurrence, however many documents share the seed. Where seeds in a row are shared, every window of
+   ``KEY_WORDS`` words is linked in the same way: the seeds of a passage may have first documents that have nothing
+   else of it, but each of its words is in a window whose first document has the whole window.
 3. Linked seeds of two documents are chained: runs on one diagonal are scored by their words, a step from
    one run to the next costs what it leaves out on either side, and the best predecessor of a run is a
    prefix maximum of a Fenwick tree over the positions in the first document.
@@ -24,6 +26,8 @@ from ..session import cut_lineage
 from .blocks import Block, column, group_bounds, slices, text_array, whole_groups, windows
 
 SEED_WORDS, WINDOW = 5, 16
+#: Words of equal runs that are sure to share a seed, and that are linked by a key of their own.
+KEY_WORDS = SEED_WORDS + WINDOW - 1
 #: Words of a passage, and of a chain that may become part of one.
 MIN_WORDS, MIN_CHAIN = 50, 16
 GAP_COST = 0.1
@@ -35,27 +39,67 @@ MARGIN, UNIT = 2 * (SEED_WORDS + WINDOW), 64
 _CHAIN = "chain string, doc_id bigint, first_id bigint, lo bigint, hi bigint, first_lo bigint, first_hi bigint, runs array<bigint>"
 
 
+def _minimizers(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word number) of the seeds of all texts."""
+    found, first, of = windows(hashes, of, SEED_WORDS, short=False)
+    n = len(found) - WINDOW + 1
+    chosen = np.zeros(len(found), bool)
+    if n > 0:
+        text = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        least = found[:n].copy()
+        for j in range(1, WINDOW):
+            np.minimum(least, found[j:j + n], out=least)
+        whole = text[:n] == text[WINDOW - 1:]
+        for j in range(WINDOW):
+            chosen[j:j + n] |= whole & (found[j:j + n] == least)
+        chosen[1:] &= (found[1:] != found[:-1]) | (text[1:] != text[:-1])  # one of a run of equal windows
+    at = np.flatnonzero(chosen)
+    return found[at].view(np.int64), first[at]
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             words = Block.of(text_array(part)).words()
-            found, first, of = windows(words.hashes(), words.of, SEED_WORDS, short=False)
-            n = len(found) - WINDOW + 1
-            chosen = np.zeros(len(found), bool)
-            if n > 0:
-                text = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                least = found[:n].copy()
-                for j in range(1, WINDOW):
-                    np.minimum(least, found[j:j + n], out=least)
-                whole = text[:n] == text[WINDOW - 1:]
-                for j in range(WINDOW):
-                    chosen[j:j + n] |= whole & (found[j:j + n] == least)
-                chosen[1:] &= (found[1:] != found[:-1]) | (text[1:] != text[:-1])  # one of a run of equal windows
-                at = np.flatnonzero(chosen)
-                ids, text = column(part, "doc_id"), text[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[at].view(np.int64)), pa.array(ids[text]), pa.array((first[at] - words.of[text]).astype(np.int32))],
-                    names=["seed", "doc_id", "at"])
+            found, at = _minimizers(words.hashes(), words.of)
+            text = np.searchsorted(words.of, at, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(column(part, "doc_id")[text]), pa.array((at - words.of[text]).astype(np.int32))],
+                names=["seed", "doc_id", "at"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of ``KEY_WORDS`` words of the stretches that may hold a run of ``MIN_WORDS`` words of another document.
+
+    A run shares all its seeds but those within ``WINDOW - 1`` words of its start, or within ``KEY_WORDS`` of its end,
+    which may be due to words beyond it. Two seeds at least are in it, unless it repeats one word.
+    """
+    for batch in batches:
+        for part in slices(batch, "__text"):
+            words = Block.of(text_array(part, "__text")).words()
+            hashes, ids = words.hashes(), column(part, "__id")
+            _, seeds = _minimizers(hashes, words.of)
+            found, first, of = windows(hashes, words.of, KEY_WORDS, short=False)
+            new = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
+            wanted = np.zeros(len(found), bool)
+            bounds = np.searchsorted(seeds, words.of)
+            for i, shared in enumerate(part.column("__shared").to_pylist()):
+                own, size = seeds[bounds[i]:bounds[i + 1]] - words.of[i], int(words.of[i + 1] - words.of[i])
+                alone = np.concatenate([[-WINDOW], own[~np.isin(own, shared)], [size + WINDOW]])
+                inside = np.diff(np.searchsorted(own, alone)) - (np.arange(len(alone) - 1) > 0)
+                lo, hi = np.maximum(alone[:-1] - WINDOW + 2, 0), np.minimum(alone[1:] + KEY_WORDS - 1, size)
+                likely = (inside > 1) | (inside > 0) & (np.diff(alone) > 2 * WINDOW)
+                for x, y in zip(lo[likely & (hi - lo >= MIN_WORDS)], hi[likely & (hi - lo >= MIN_WORDS)]):
+                    wanted[of[i] + x:of[i] + y - KEY_WORDS + 1] = True
+            wanted &= new[first + KEY_WORDS - 1] > new[first] if len(first) else wanted
+            at = np.flatnonzero(wanted)
+            text = np.searchsorted(of, at, "right") - 1
+            order = np.lexsort((at, found[at], text))
+            once = np.ones(len(at), bool)
+            once[order[1:]] = (found[at[order[1:]]] != found[at[order[:-1]]]) | (text[order[1:]] != text[order[:-1]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[at].view(np.int64)), pa.array(ids[text]), pa.array((first[at] - words.of[text]).astype(np.int32)), pa.array(once)],
+                names=["key", "doc_id", "at", "once"])
 
 
 class _Fenwick:
@@ -130,9 +174,12 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, keys):
         bounds, out = group_bounds(table, keys), []
         doc, first, at, first_at = (column(table, c).astype(np.int64) for c in ("doc_id", "first_id", "at", "first_at"))
+        both, key = at << 32 | first_at, column(table, "key")
         for s, e in zip(bounds[:-1], bounds[1:]):
-            own = np.unique(np.stack([at[s:e], first_at[s:e]]), axis=1)  # repeated rows of a document repeat its seeds
-            for runs in chains(own[0], own[1]):
+            # Repeated rows of a document repeat its seeds. A key counts as the seeds at its two ends.
+            ends = both[s:e][key[s:e]] + (KEY_WORDS - SEED_WORDS) * (1 << 32 | 1)
+            own = np.unique(np.concatenate([both[s:e], ends]))
+            for runs in chains(own >> 32, own & 0xFFFFFFFF):
                 lo, hi = runs[0][0], runs[-1][1]
                 if hi - lo < MIN_CHAIN:
                     continue
@@ -283,7 +330,15 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
     # adaptive execution can split the rows of a seed that very many documents have.
     hits = cut_lineage(seeds.join(cut_lineage(shared, "shared-seeds"), "seed"), "seeds")
     firsts = cut_lineage(hits.where("doc_id = first_id").groupBy("seed").agg(F.min("at").alias("first_at")), "first-seeds")
-    links = hits.where("doc_id > first_id").join(firsts, "seed").select("doc_id", "first_id", "at", "first_at")
+    links = hits.where("doc_id > first_id").join(firsts, "seed").select("doc_id", "first_id", "at", "first_at", F.lit(False).alias("key"))
+    likely = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("at").alias("__shared"))
+    keys = (known.select("__id", "__text").join(likely, known["__id"] == likely["__doc"])
+            .mapInArrow(_keys, "key bigint, doc_id bigint, at int, once boolean"))
+    keys = cut_lineage(keys, "keys")
+    owners = (keys.where("once").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min_by("at", "doc_id").alias("first_at"), F.max("doc_id").alias("last_id"))
+              .where("first_id < last_id").drop("last_id"))
+    links = links.union(keys.drop("once").join(cut_lineage(owners, "key-owners"), "key").where("doc_id > first_id")
+                        .select("doc_id", "first_id", "at", "first_at", F.lit(True)))
     found = cut_lineage(links.repartition("doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "at").mapInArrow(_chained, _CHAIN), "chains")
     wanted = (found.select(F.col("doc_id").alias("__doc"), "lo", "hi")
               .union(found.select("first_id", "first_lo", "first_hi")).distinct()
