@@ -103,3 +103,13 @@ def test_seeds_with_other_first_documents(spark):
     texts[:56] = [" ".join(prose(400 + i, 40).split() + passage[i:i + 30] + prose(500 + i, 40).split()) for i in range(0, 31, 5)]
     found = spans(passages.shared_passages(docs(spark, texts)).collect())
     assert (7, 30, 90) in found and (8, 30, 90) in found
+
+
+def test_repeated_lines(spark):
+    line = prose(31, 12).split()
+    edited = [w for k in range(10) for w in [*line[:5], f"x{k}", *line[6:]]]  # so that no key is shared
+    texts = [prose(800, 30).split() + line * 10 + prose(801, 30).split(), prose(802, 25).split() + line * 10 + prose(803, 30).split(),
+             prose(804, 20).split() + edited + prose(805, 30).split(), prose(806, 20).split() + line * 25 + prose(807, 30).split()]
+    rows = passages.shared_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert spans(rows) == [(1, 25, 145), (2, 20, 140), (3, 20, 320)]
+    assert {r.first_id for r in rows} == {0}

@@ -3,7 +3,8 @@
 1. Seeds: of every ``WINDOW`` windows of ``SEED_WORDS`` words the one with the least hash, so equal runs
    of ``SEED_WORDS + WINDOW - 1`` words share a seed.
 2. A seed that several documents have links each of them to the first document that has it. That is one
-   row for each occurrence, however many documents share the seed. Where seeds in a row are shared, every window of
+   row for each occurrence, however many documents share the seed: the n-th one in a document is linked to the n-th
+   one in the first (counted round if that has fewer), so that repeated lines stay on one diagonal. Where seeds in a row are shared, every window of
    ``KEY_WORDS`` words is linked in the same way: the seeds of a passage may have first documents that have nothing
    else of it, but each of its words is in a window whose first document has the whole window.
 3. Linked seeds of two documents are chained: runs on one diagonal are scored by their words, a step from
@@ -63,9 +64,14 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Block.of(text_array(part)).words()
             found, at = _minimizers(words.hashes(), words.of)
             text = np.searchsorted(words.of, at, "right") - 1
+            order = np.lexsort((at, found, text))
+            new = np.ones(len(at), bool)
+            new[1:] = (found[order[1:]] != found[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+            nth = np.empty(len(at), np.int32)
+            nth[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(column(part, "doc_id")[text]), pa.array((at - words.of[text]).astype(np.int32))],
-                names=["seed", "doc_id", "at"])
+                [pa.array(found), pa.array(column(part, "doc_id")[text]), pa.array((at - words.of[text]).astype(np.int32)), pa.array(nth)],
+                names=["seed", "doc_id", "at", "nth"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +330,14 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
     """
     known = _by_id(documents)
     texts = known.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
-    seeds = texts.mapInArrow(_seeds, "seed bigint, doc_id bigint, at int")
+    seeds = texts.mapInArrow(_seeds, "seed bigint, doc_id bigint, at int, nth int")
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     # Aggregates are tables before they are joined: both sides of the join are then plain exchanges, and
     # adaptive execution can split the rows of a seed that very many documents have.
     hits = cut_lineage(seeds.join(cut_lineage(shared, "shared-seeds"), "seed"), "seeds")
-    firsts = cut_lineage(hits.where("doc_id = first_id").groupBy("seed").agg(F.min("at").alias("first_at")), "first-seeds")
-    links = hits.where("doc_id > first_id").join(firsts, "seed").select("doc_id", "first_id", "at", "first_at", F.lit(False).alias("key"))
+    firsts = cut_lineage(hits.where("doc_id = first_id").groupBy("seed").agg(F.array_sort(F.collect_set("at")).alias("places")), "first-seeds")
+    links = (hits.where("doc_id > first_id").join(firsts, "seed")
+             .select("doc_id", "first_id", "at", F.expr("element_at(places, nth % size(places) + 1)").alias("first_at"), F.lit(False).alias("key")))
     likely = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("at").alias("__shared"))
     keys = (known.select("__id", "__text").join(likely, known["__id"] == likely["__doc"])
             .mapInArrow(_keys, "key bigint, doc_id bigint, at int, once boolean"))
