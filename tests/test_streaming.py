@@ -146,6 +146,18 @@ def test_a_silent_source_is_released_while_another_is_busy(spark, tmp_path):
     assert len(list((tmp_path / "state").glob("batch=*"))) == 2
 
 
+def test_last_windows_of_an_ended_alert(spark, tmp_path):
+    alert = Alert("x", "1m", F.col("n") > 0, {"n": a.count_all()}, signal=Signal("e", F.col("level") == "Error"), suppression="10m", channels=("c",))
+    for minutes in ([0, 3, 12], [21, 22, 40], [58, 60, 60, 68]):  # the last window is open when the input ends
+        add(spark, tmp_path / "in", [(n, m, level) for m in minutes for n, level in ((m, "Error"), (100 + m, "info"))])
+    table = spark.read.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds no new input
+        out = alerting.drain_alert(stream(spark, tmp_path / "in"), table, alert, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"))
+        got = sorted((r.time, r.n, r.channel) for r in out.collect())
+        assert got == sorted((r.time, r.n, r.channel) for r in raise_alert(table, alert).collect())
+        assert [t.hour * 60 + t.minute for t, _, _ in got] == [0, 12, 22, 40, 58, 68]
+
+
 def test_last_slices_of_an_ended_stream(spark, tmp_path):
     for rows in ([(1, 0, "a"), (2, 65, "a")], [(3, 70, "b"), (4, 200, "a")]):
         add(spark, tmp_path / "in", rows)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.levels import normalise_level
-from ..operators.alerts import Alert, alert_input, notify, suppress
+from ..functions.times import duration_us, ticks_us
+from ..operators.alerts import Alert, alert_input, evaluate_alert, notify, suppress
+from ..operators.query import slice_start
 from ..session import delete_folder
 from .live import stream_time_slices
 
@@ -59,3 +61,27 @@ def stream_alert(stream: DataFrame, alert: Alert, out_path: str, state: str, che
     writer = (stream_firings(stream, alert, watermark).writeStream.outputMode("append").foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def drain_alert(stream: DataFrame, rows: DataFrame, alert: Alert, out_path: str, state: str, checkpoint: str, watermark: str = "1 minute") -> DataFrame:
+    """All notifications of a stream that has ended, those of the windows still open when its input ended too.
+
+    The open windows are evaluated from ``rows``, the same source as a table; only what comes after the last closed
+    window is read. The last notification of the stream is their first firing.
+    """
+    stream_alert(stream, alert, out_path, state, checkpoint, watermark, available_now=True).awaitTermination()
+    spark = stream.sparkSession
+    marks = spark.read.text(f"{checkpoint}/offsets").select(F.get_json_object("value", "$.batchWatermarkMs").cast("bigint").alias("ms"))
+    reached = marks.agg(F.max("ms")).first()[0]
+    mark = F.timestamp_millis(F.lit(reached or 0))
+    fired = evaluate_alert(rows.where(F.col("ts") >= slice_start(mark, alert.window)), alert)
+    fired = fired.where(ticks_us(F.col("time")) + duration_us(alert.window) > ticks_us(mark))
+    if reached is None:  # no batch, so there is no table yet
+        return notify(fired if alert.suppression is None else suppress(fired, alert.suppression), alert.channels)
+    if alert.suppression is not None:
+        before = spark.read.schema(SPOKEN_SCHEMA).parquet(state).groupBy("alert").agg(F.max("time").alias("time"))
+        times = fired.select("alert", "time").distinct()
+        spoken = suppress(times.unionByName(before), alert.suppression).join(before, ["alert", "time"], "left_anti")
+        fired = fired.join(spoken, ["alert", "time"], "left_semi")
+    last = notify(fired, alert.channels)
+    return spark.read.schema(last.schema).parquet(out_path).select(*last.columns).unionByName(last)
