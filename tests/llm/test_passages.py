@@ -113,3 +113,35 @@ def test_repeated_lines(spark):
     rows = passages.shared_passages(docs(spark, [" ".join(t) for t in texts])).collect()
     assert spans(rows) == [(1, 25, 145), (2, 20, 140), (3, 20, 320)]
     assert {r.first_id for r in rows} == {0}
+
+
+def test_against_a_quadratic_finder(spark):
+    r = random.Random(41)
+    shared = [prose(900 + i, 55 + 5 * i).split() for i in range(6)]
+    line = prose(910, 14).split()
+    texts, edited = [], {}
+    for i in range(40):
+        words = prose(1000 + i, 20).split()
+        for k in range(4):
+            kind, p = r.randrange(4), r.choice(shared)
+            piece = p if kind == 0 else line * r.choice([1, 5, 10]) if kind == 1 else p[(at := r.randrange(30)):at + r.choice([5, 15, 25])]
+            if kind == 3 and i > 30:
+                piece = [f"x{i}-{k}-{n}" if n % 30 == 22 else w for n, w in enumerate(p)]
+                edited[i, k] = (len(words), len(words) + len(piece))
+            words += piece + prose(2000 + 10 * i + k, 20 + r.randrange(60)).split()
+        texts.append(words)
+    found = {}
+    for row in passages.shared_passages(docs(spark, [" ".join(t) for t in texts])).collect():
+        found.setdefault(row.doc_id, set()).update(range(row.start, row.end))
+    runs, pieces, n, m = set(), set(), passages.MIN_WORDS, passages.MIN_CHAIN
+    for i, words in enumerate(texts):
+        def covered(seen, size):
+            return {w for at in range(len(words) - size + 1) if tuple(words[at:at + size]) in seen for w in range(at, at + size)}
+
+        got, near = found.get(i, set()), {w for s, e in (v for (d, _), v in edited.items() if d == i) for w in range(s, e)}
+        assert covered(runs, n) <= got, i
+        assert len(got & near) >= 0.9 * len(near), i
+        assert len(got - near - covered(pieces, m)) <= 0.05 * len(got), i
+        runs.update(tuple(words[at:at + n]) for at in range(len(words) - n + 1))
+        pieces.update(tuple(words[at:at + m]) for at in range(len(words) - m + 1))
+    assert len(found) > 20 and edited
