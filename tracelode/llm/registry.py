@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, jaccard_forest, mixing, packing, passages, quality_mil, quality_rules, suffix_dedup, toxicity
+from . import (chat, fill_in_middle, filter_audit, fingerprints, jaccard_forest, mixing, packing, passages, quality_mil, quality_rules, secret_scan,
+               suffix_dedup, toxicity)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_strings(_table(spark, folder, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_report(_table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interaction_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.fill_report(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +75,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = (op1_fingerprints, op2_jaccard_forest, op3_quality_mil, op4_fuzzy_passages, op5_quality_rules, op6_pattern_packing, op7_chat_layouts,
-            op8_toxicity_grammar, op9_source_mix, op10_suffix_dedup, pipeline)
+            op8_toxicity_grammar, op9_source_mix, op10_suffix_dedup, op11_secret_scan, op12_filter_audit, op13_fill_in_middle, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.REPORT_SQL, "op7_chat_layouts": chat.REPORT_SQL, "op9_source_mix": mixing.REPORT_SQL}
+    return {"op5_quality_rules": quality_rules.REPORT_SQL, "op7_chat_layouts": chat.REPORT_SQL, "op9_source_mix": mixing.REPORT_SQL,
+            "op12_filter_audit": filter_audit.REPORT_SQL, "op13_fill_in_middle": fill_in_middle.REPORT_SQL}
