@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 SEVERITIES = {"Verbose": 0, "Debug": 1, "Information": 2, "Warning": 3, "Error": 4, "Fatal": 5}
 
 # Full level name, its severity, and the spellings that mean it.
-LEVELS = (
+SPELLINGS = (
     ("Trace", "Verbose", ("t", "tr", "trc", "trce", "trace")),
     ("Verbose", "Verbose", ("v", "ver", "vrb", "verb", "verbose")),
     ("Debug", "Debug", ("d", "de", "dbg", "deb", "dbug", "debu", "debug")),
@@ -22,10 +22,13 @@ LEVELS = (
     ("Panic", "Fatal", ("panic",)),
 )
 
+#: The same, the spellings of a level as one text.
+LEVELS = tuple((name, severity, " ".join(spellings)) for name, severity, spellings in SPELLINGS)
+
 
 def _literal_map(value_of) -> str:
     """A map literal in SQL text: one expression instead of a call per entry."""
-    return "map(" + ", ".join(f"'{s}', {value_of(name, severity)}" for name, severity, spellings in LEVELS
+    return "map(" + ", ".join(f"'{s}', {value_of(name, severity)}" for name, severity, spellings in SPELLINGS
                               for s in spellings) + ")"
 
 
@@ -45,7 +48,7 @@ def severity_of(level: Column) -> Column:
 
 def severity_number(name: str) -> int:
     """Severity of a literal level spelling."""
-    for full, severity, spellings in LEVELS:
+    for full, severity, spellings in SPELLINGS:
         if name.lower() in spellings or name == full:
             return SEVERITIES[severity]
     raise ValueError(f"unknown level: {name}")
