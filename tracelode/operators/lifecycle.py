@@ -73,7 +73,7 @@ def _folder(row, columns: list[str]) -> str:
     return "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else row[c]}" for c in columns)
 
 
-def _replace(spark: SparkSession, path: str, rows: DataFrame, columns: list[str], touched: list) -> None:
+def replace_partitions(spark: SparkSession, path: str, rows: DataFrame, columns: list[str], touched: list) -> None:
     """Puts ``rows`` in the place of the touched partitions. They are written aside, in a folder that readers
     skip, and only then moved in, one whole partition at a time; those without rows go."""
     aside = f"{path.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
@@ -106,7 +106,7 @@ def delete_from_table(spark: SparkSession, path: str, predicate: Column | None =
     doomed = is_true(_matching(predicate, start, end, signal))
     touched = table.groupBy(*columns).agg(F.count_if(doomed).alias("gone")).where(F.col("gone") > 0).collect()
     if touched:
-        _replace(spark, path, table.where(_within(columns, touched)).where(~doomed), columns, touched)
+        replace_partitions(spark, path, table.where(_within(columns, touched)).where(~doomed), columns, touched)
     return sum(r["gone"] for r in touched)
 
 
@@ -123,7 +123,7 @@ def compact_table(spark: SparkSession, path: str) -> int:
         newest = spark.createDataFrame([(r[DATE_COLUMN], r[BATCH_COLUMN]) for r in many], f"_date date, _batch {dict(table.dtypes)[BATCH_COLUMN]}")
         rows = rows.join(newest, F.col(DATE_COLUMN).eqNullSafe(F.col("_date"))).withColumn(BATCH_COLUMN, F.col("_batch")).drop("_date", "_batch")
         touched = [{DATE_COLUMN: r[DATE_COLUMN], BATCH_COLUMN: b} for r in many for b in r["batches"]]
-        _replace(spark, path, rows.select(*table.columns), columns, touched)
+        replace_partitions(spark, path, rows.select(*table.columns), columns, touched)
     return len(many)
 
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, with_: str = ""):
 def _load() -> None:
     from . import (  # noqa: F401
         alert_queries, benchmark_queries, file_queries, filter_queries, function_queries, grouping_queries, ingest_queries,
-        lifecycle_queries, metric_queries, stream_queries, trace_queries,
+        lifecycle_queries, metric_queries, rollup_queries, stream_queries, trace_queries,
     )
 
 
