@@ -64,6 +64,22 @@ def test_slices_are_anchored_and_filled(spark):
     assert early.time == dt.datetime(2024, 1, 1)
 
 
+def test_gaps_are_filled_between_slices_of_a_key(spark):
+    df = events(spark, [(5, "a", 1.0), (245, "a", 2.0), (10, "b", 3.0), (130, None, 4.0), (10, None, 5.0)])
+    rows = q.time_slices(df, "1h", by="level", aggs={"n": a.count_all(), "high": F.max("value")}, fill="gaps", carry=("high",)).collect()
+    got = sorted(((r.level or "", r.time.hour, r.n, r.high) for r in rows), key=str)
+    assert got == sorted([("a", 0, 1, 1.0), ("a", 1, None, 1.0), ("a", 2, None, 1.0), ("a", 3, None, 1.0), ("a", 4, 1, 2.0), ("b", 0, 1, 3.0),
+                          ("", 0, 1, 5.0), ("", 1, None, 5.0), ("", 2, 1, 4.0)], key=str)
+    alone = q.fill_gaps(q.time_slices(df, "1h", aggs={"n": a.count_all()}), "1h").orderBy("time").collect()
+    assert [(r.time.hour, r.n) for r in alone] == [(0, 3), (1, None), (2, 1), (3, None), (4, 1)]
+    assert q.fill_gaps(q.time_slices(df.where("false"), "1h", by="level", aggs={"n": a.count_all()}), "1h", "level").count() == 0
+    untimed = spark.createDataFrame([("a", None, 1), ("a", dt.datetime(2024, 1, 1), 2)], "level string, time timestamp, n int")
+    assert sorted(r.n for r in q.fill_gaps(untimed, "1h", "level").collect()) == [1, 2]
+    far = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1), ("a", dt.datetime(2024, 1, 1, 1), 2)] + [(f"k{i}", dt.datetime(2020, 1, 1), 1) for i in range(500)],
+                                "level string, time timestamp, n int")
+    assert q.fill_gaps(far, "1h", "level").count() == 502  # no key is paired with a range
+
+
 def test_first_last_with_ties(spark):
     df = events(spark, [(1, "a", 1.0), (1, "a", 2.0), (0, "b", 9.0)])
     row = df.agg(a.first_of(F.col("value")).alias("f"), a.last_of(F.col("value")).alias("l")).first()

@@ -197,3 +197,32 @@ def test_deletion_of_events_without_a_time(spark, tmp_path):
     assert lifecycle.delete_from_table(spark, path, F.col("ts").isNull()) == 2
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["4", "6"]
     assert lifecycle.retain_in_table(spark, path, [lifecycle.RetentionPolicy("1d")], "2024-01-09") == 2
+
+
+def test_a_record_that_never_ends_leaves_in_parts(spark, tmp_path):
+    """Two sources over six batches; one of them opens a single record. What is carried over stays a part long."""
+    batches, text, n = [], {"long": "", "short": []}, 0
+    for b in range(6):
+        rows = []
+        for i in range(40):
+            line = "+begin" if n == 0 else f" é line {n} of it"
+            rows.append(("long", n, line))
+            text["long"] += line + "\n"
+            opens = n % 7 == 3
+            rows.append(("short", n, f"+{n}" if opens else f" {n}"))
+            if opens or not text["short"]:
+                text["short"].append([n, ""])
+            text["short"][-1][1] += rows[-1][2] + "\n"
+            n += 1
+        batches.append(rows)
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        lines = spark.readStream.schema(LINES).parquet(str(tmp_path / "in"))
+        framing.frame_parts_stream(lines, r"\A\+", 50, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), deadline="1h",
+                                   available_now=True).awaitTermination()
+        held = spark.read.parquet(str(tmp_path / "state" / f"batch={b}")).collect()
+        assert len(held) == 2 and all(len(r.line) < 50 for r in held)
+    framing.release_parts(spark, str(tmp_path / "state"), str(tmp_path / "out"), 5)
+    got = sorted((r.source, r.frame_start, r.part, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect() if not r.is_orphan)
+    records = [("long", 0, text["long"]), *(("short", a, t) for a, t in text["short"] if t[0] == "+")]
+    assert got == sorted((s, a, k, t[i:i + 50]) for s, a, t in records for k, i in enumerate(range(0, len(t), 50)))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.operators.alerts import suppress
+from tracelode.operators.alerts import CHUNK_STARTS, suppress
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -31,7 +31,7 @@ def test_against_the_rule(spark, seed, per_chunk):
     width = 10_000_000
     rows = [("a", r.randrange(-200, 4000) * 500_000) for _ in range(400)] + [("b", i * 3_333_333) for i in range(300)] + [("c", r.randrange(10) * 90_000_000) for _ in range(20)]
     rows += [("d", 7), ("e", 0), ("e", width - 1), ("e", width), ("e", 2 * width - 1), (None, 5), ("d", None)] + rows[:40]
-    got = suppress(firings(spark, rows), "10 seconds", per_chunk=per_chunk).select("alert", F.unix_micros("time").alias("t"), "group").collect()
+    got = suppress(firings(spark, rows), "10 seconds", window="2 seconds", per_chunk=per_chunk).select("alert", F.unix_micros("time").alias("t"), "group").collect()
     want = {a: set(by_hand([t for b, t in rows if a == b and t is not None], width)) for a in "abcde"}
     assert sorted((x.alert, x.t, x.group) for x in got) == sorted((a, t, i) for i, (a, t) in enumerate(rows) if a is not None and t is not None and t in want[a])
 
@@ -53,4 +53,4 @@ def test_a_million_firings_of_one_alert_are_spread(spark):
         want.append(int(at[i]))
         i = int(np.searchsorted(at, at[i] + 600))
     assert sorted(int(x[0]) for x in kept.select(F.unix_seconds("time")).collect()) == want and len(want) > 80_000
-    assert at[-1] // (600 * int((1 << 16) / 10)) >= 14
+    assert at[-1] // (CHUNK_STARTS * 60) >= 14

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.levels import normalise_level
 from ..functions.times import duration_us
-from ..session import cut_lineage
 from .filters import apply_signal
 from .joins import lateral_unnest
 from .query import time_slices
@@ -65,21 +64,19 @@ def evaluate_alert(df: DataFrame, alert: Alert, start=None, end=None) -> DataFra
     return result.select(F.lit(alert.title).alias("alert"), normalise_level(F.lit(alert.level)).alias("level"), "*")
 
 
-def suppress(firings: DataFrame, period, alert: str = "alert", time: str = "time", per_chunk: int = CHUNK_STARTS) -> DataFrame:
+def suppress(firings: DataFrame, period, alert: str = "alert", time: str = "time", window: str = "1 minute", per_chunk: int = CHUNK_STARTS) -> DataFrame:
     """Firings that notify: after each, later ones of the same alert are silent for the period.
 
     The rule is sequential, but a chunk of an alert's time needs to know only when the silence before it ends,
     and that is within a period of its start. So each chunk first tells, for every such end that makes a difference,
     when its own last silence would end; one short row per chunk is then followed in order; and
     each chunk at last names its notifications. The first and last step split one alert over as many tasks
-    as it has chunks. A chunk is as many whole periods as hold about ``per_chunk`` window starts, one period at least; its
+    as it has chunks. A chunk is as many whole periods as hold ``per_chunk`` windows of the alert, one period at least; its
     length changes the work and never the result. A firing without an alert name or a time notifies nobody.
     """
     width = duration_us(period)
-    starts = cut_lineage(firings.select(F.col(alert).alias("_alert"), F.unix_micros(time).alias("_at")).distinct().where("_alert is not null and _at is not null"), "firings")
-    filled = starts.groupBy("_alert", F.floor(F.col("_at") / width).alias("_period")).agg(F.count(F.lit(1)).alias("_n"))
-    average = filled.agg(F.avg("_n")).first()[0] or 1.0
-    chunk = max(1, int(per_chunk / average)) * width
+    chunk = max(1, per_chunk * duration_us(window) // width) * width
+    starts = firings.select(F.col(alert).alias("_alert"), F.unix_micros(time).alias("_at")).distinct().where("_alert is not null and _at is not null")
     chunked = starts.withColumn("_chunk", F.floor(F.col("_at") / chunk))
     ends = chunked.groupBy("_alert", "_chunk").applyInArrow(_silences(width, chunk), "_alert STRING, _chunk BIGINT, _entries ARRAY<BIGINT>, _ends ARRAY<BIGINT>")
     entered = ends.groupBy("_alert").applyInArrow(_entries, "_alert STRING, _chunk BIGINT, _entry BIGINT")
@@ -146,5 +143,5 @@ def raise_alert(df: DataFrame, alert: Alert, start=None, end=None) -> DataFrame:
     """Evaluation, suppression and notification in one plan."""
     firings = evaluate_alert(df, alert, start, end)
     if alert.suppression is not None:
-        firings = suppress(firings, alert.suppression)
+        firings = suppress(firings, alert.suppression, window=alert.window)
     return notify(firings, alert.channels)

@@ -110,11 +110,15 @@ def slice_start(ts: Column, every, start=None) -> Column:
 
 def time_slices(df: DataFrame, every, start=None, end=None, by=None, aggs: dict[str, Column] | None = None,
                 percentiles: dict[str, tuple] | None = None, ci: tuple[str, ...] = (),
-                having: Column | None = None, fill: bool = False, ts: str = "ts") -> DataFrame:
+                having: Column | None = None, fill: bool | str = False, ts: str = "ts", carry: tuple[str, ...] = ()) -> DataFrame:
     """Group by time alone or with more keys: keys, then ``time``, then measures.
 
-    ``fill=True`` adds a row with null measures for every empty slice of each key.
+    ``fill=True`` adds a row with null measures for every empty slice of each key: keys times slices. ``fill="gaps"`` adds
+    only those between a key's first and last slice, with the measures in ``carry`` repeated, see :func:`fill_gaps`.
     """
+    if fill == "gaps":
+        result = fill_gaps(time_slices(df, every, start, end, by, aggs, percentiles, ci, ts=ts), every, by, carry)
+        return result if having is None else result.where(having)
     if fill and (start is None or end is None):
         raise ValueError("fill needs a start and an end")
     keys = _named(by)
@@ -131,6 +135,26 @@ def time_slices(df: DataFrame, every, start=None, end=None, by=None, aggs: dict[
     return result if having is None else result.where(having)
 
 
+def fill_gaps(slices: DataFrame, every, by=(), carry: tuple[str, ...] = (), time: str = "time") -> DataFrame:
+    """Adds the missing slices between a key's first and last one, in proportion to what is missing.
+
+    Each observed slice makes the run up to the next one of its key. Added slices repeat the values of the columns in
+    ``carry`` from the slice before them and are null in all others. Slices without a time stay as they are. Only one row per
+    observed slice is ordered within a key, and no key is paired with a range; for slices outside a key's own
+    range use ``fill`` of :func:`time_slices`.
+    """
+    keys = list(_named(by))
+    width = duration_us(every)
+    own = Window.partitionBy(*keys).orderBy(time) if keys else Window.orderBy(time)
+    at, following = ticks_us(F.col(time)), F.lead(ticks_us(F.col(time))).over(own)
+    staged = slices.withColumn("__at", at).withColumn("__next", F.when(at.isNotNull(), following))
+    run = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil((F.col("__next") - F.col("__at")) / width) - 1).cast("bigint"))
+    rows = staged.withColumn("__step", F.explode(F.coalesce(run, F.array(F.lit(0).cast("bigint")))))
+    kept = {*keys, *carry}
+    return rows.select(*[from_us(F.col("__at") + F.col("__step") * width).alias(c) if c == time else F.col(c) if c in kept
+                         else F.when(F.col("__step") == 0, F.col(c)).alias(c) for c in slices.columns])
+
+
 def _instant(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("timestamp")
 

@@ -141,6 +141,17 @@ def slices_filled(t):
     return rows.select("event_type", stamp("time"), "n")
 
 
+@query("slices_gaps_filled", f"""SELECT g.event_type, {stamp_sql("g.time")} AS time, n, last_value(high IGNORE NULLS) OVER (PARTITION BY g.event_type ORDER BY g.time) AS high FROM (
+      SELECT event_type, unnest(generate_series(min(time), max(time), INTERVAL '1 hour')) AS time FROM (
+        SELECT event_type, date_trunc('hour', ts) AS time FROM stream WHERE value > 150 AND {IN_RANGE}) GROUP BY 1) g
+    LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS time, count(*) AS n, max(value) AS high FROM stream WHERE value > 150 AND {IN_RANGE} GROUP BY 1, 2) f
+      ON g.event_type = f.event_type AND g.time = f.time""", STREAM_SQL)
+def slices_gaps_filled(t):
+    rows = q.time_slices(t.stream.where(F.col("value") > 150), "1h", START, END, by="event_type",
+                         aggs={"n": a.count_all(), "high": F.max("value")}, fill="gaps", carry=("high",))
+    return rows.select("event_type", stamp("time"), "n", "high")
+
+
 @query("having_measure", """SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM stream GROUP BY 1
     HAVING count(*) > 10""", STREAM_SQL)
 def having_measure(t):

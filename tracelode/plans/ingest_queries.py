@@ -8,7 +8,7 @@ from ..functions.aggregates import count_all
 from ..functions.levels import normalise_level, severity_of
 from ..functions.values import prop
 from ..operators import extraction as ex, ingest, query as q, sinks
-from ..operators.framing import frame_lines
+from ..operators.framing import frame_lines, frame_parts
 from ..session import scratch_path
 from ..sources import clef
 from ..sources.lines import read_lines
@@ -42,6 +42,13 @@ def frame_log_lines(t):
     return frame_lines(t.log_lines, RECORD_START).select("source", "frame_start", F.col("n_lines").cast("int"), "is_orphan", "text")
 
 
+@query("frame_log_parts", f"""SELECT source, frame_start, part::INT AS part, substr(text, part * 60 + 1, 60) AS text FROM (SELECT *, unnest(range((length(text) + 59) // 60)) AS part FROM (
+    SELECT source, event_id * 8 AS frame_start, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' +00:00 [' || level || '] ' || message || chr(10)
+      || CASE WHEN exception IS NULL THEN '' ELSE exception || chr(10) END AS text FROM logs))""", LOG_SQL)
+def frame_log_parts(t):
+    return frame_parts(t.log_lines, RECORD_START, 60).select("source", "frame_start", "part", "text")
+
+
 DOCUMENT_LINES_SQL = """lines AS (
   SELECT source, doc_id * 1048576 + n - 1 AS line_no, line, regexp_matches(line, '^[A-Z]') AS opens FROM (
     SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
