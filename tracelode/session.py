@@ -55,15 +55,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: With it, the shuffle files of a step go when the step is written, and not when the driver happens to collect garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Iterative plans stay short and survive lost executors, and unlike a row-wise checkpoint the
-    table is compressed and later steps read only the columns they need.
+    table is compressed and later steps read only the columns they need. Its shuffle files are removed at once.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Removes tables that :func:`cut_lineage` wrote and that no later step reads."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.scratch)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
