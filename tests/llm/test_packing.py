@@ -66,3 +66,16 @@ def test_plan_holds_every_piece(seed):
     assert (held == histogram).all()
     least = -(-int((histogram * np.arange(4097)).sum()) // 4096)
     assert sum(n for _, n in kinds) <= least * 1.002 + 1
+
+
+def test_every_white_space_and_control_character(spark, tokenizer):
+    """Ids are those of the whole text, whatever stands between, in and around words."""
+    import sys
+    import unicodedata
+
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in ("Cc", "Cf", "Zl", "Zp", "Zs")]
+    texts = [f"one{c}two {c} three{c}{c}four, {c}five" for c in odd] + ["".join(f"w{c}" for c in odd), "plain words OF ASCII letters", "Straße İstanbul ǅ ſtop K"]
+    ids = packing._ids(open(packing.default_tokenizer(), encoding="utf-8").read())
+    assert ids.direct
+    got = ids(texts)
+    assert [t for t, g in zip(texts, got) if g != np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] == []

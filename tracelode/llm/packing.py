@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -19,15 +20,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .blocks import column, slices
+from .blocks import column, slices, text_array
 
 CAPACITY = 4096
 END_ID = 1
 #: Marks at the end of a word that the tokenizer parts from letters before them.
 MARKS = ".,;:!?"
+#: Characters that ``str.split`` takes for white space and the tokenizer doesn't, and the words of texts that hold any.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: If the model alone gives these the ids that the whole tokenizer does, it is asked alone for all runs of small ASCII letters.
+_PROBES = ("a", "z", "word", "internationalization", "qxzjvkw", "thestorymentedie", "abcdefghijklmnopqrstuvwxyz" * 3)
 #: Words, and parts of words, whose ids a worker remembers at once; as many older ones are kept beside them.
 REMEMBERED = 400_000
 #: Lengths that patterns of three and four are built from.
@@ -72,6 +79,10 @@ class _Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.direct = all(self._plain(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in _PROBES)
+
+    def _plain(self, word: str) -> list[int]:
+        return [token.id for token in self.tokenizer.model.tokenize(word)]
 
     def _encoded(self, parts: set[str]) -> None:
         """Encodes what isn't known yet. A run of letters ends with the one of its tokens that is marked as the end
@@ -79,6 +90,15 @@ class _Ids:
         new = sorted(self.parts.missing(parts))
         words = [p for p in new if p.isalpha()]
         alone = [p for p in new if not p.isalpha()]
+        if self.direct:
+            flat, ends, model = [], [0], self.tokenizer.model
+            plain = [p for p in words if p.isascii() and p.islower()]
+            words = [p for p in words if not (p.isascii() and p.islower())]
+            for p in plain:
+                flat += [token.id for token in model.tokenize(p)]
+                ends.append(4 * len(flat))
+            data = np.array(flat, "<u4").tobytes()
+            self.parts.young.update((p, data[a:b]) for p, a, b in zip(plain, ends, ends[1:]))
         for at in range(0, len(words), 512):
             some = words[at:at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -93,10 +113,10 @@ class _Ids:
             for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.parts.young[part] = np.array(found.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of some words."""
         new = {}
-        for word in self.words.missing(set().union(*words)):
+        for word in self.words.missing(set(words)):
             letters = word.rstrip(MARKS)
             if letters.isalpha():
                 new[word] = (letters.lower() if letters.isascii() else letters, word[len(letters):])
@@ -106,7 +126,32 @@ class _Ids:
         parts, known = self.parts.young, self.words.young
         for word, (letters, marks) in new.items():
             known[word] = parts[letters] + parts[marks] if marks else parts[letters]
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        return [known[w] for w in words]
+
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Words are looked up once for all texts, and their ids gathered by number."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = pc.match_substring_regex(texts, f"[{_SEPARATORS}]")
+        some = pc.any(odd, min_count=0).as_py()
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if some else texts)
+        flat = words.flatten().dictionary_encode()
+        ids = self._of_each(flat.dictionary.to_pylist())
+        gathered = pa.array(ids, pa.large_binary()).take(flat.indices)
+        if not len(gathered):
+            data, at = b"", [0] * (len(texts) + 1)
+        else:
+            _, offsets, values = gathered.buffers()
+            data = values.to_pybytes() if values is not None else b""
+            at = np.frombuffer(offsets, np.int64, len(gathered) + 1)[words.offsets.to_numpy()].tolist()
+        out = [data[i:j] for i, j in zip(at, at[1:])]
+        for i in pc.indices_nonzero(odd).to_pylist() if some else ():
+            out[i] = b"".join(self._known(_WORD.findall(texts[i].as_py())))
+        return out
+
+    def _of_each(self, words: list[str]) -> list[bytes]:
+        """As :meth:`_known`, for lists in which white space at an end of a text left an empty word."""
+        found = iter(self._known([w for w in words if w]))
+        return [next(found) if w else b"" for w in words]
 
 
 @lru_cache(2)
@@ -127,7 +172,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
             for part in slices(batch, "text"):
                 rows: list[int] = []
                 out: list[tuple[int, int, int, int]] = []
-                for i, data in enumerate(ids(part.column("text").to_pylist())):
+                for i, data in enumerate(ids(text_array(part))):
                     data += end
                     for n, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at:at + 4 * capacity]

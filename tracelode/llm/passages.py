@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_scratch
 from .blocks import Block, column, group_bounds, slices, text_array, whole_groups, windows
 
 SEED_WORDS, WINDOW = 5, 16
@@ -334,7 +334,9 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     # Aggregates are tables before they are joined: both sides of the join are then plain exchanges, and
     # adaptive execution can split the rows of a seed that very many documents have.
-    hits = cut_lineage(seeds.join(cut_lineage(shared, "shared-seeds"), "seed"), "seeds")
+    shared = cut_lineage(shared, "shared-seeds")
+    hits = cut_lineage(seeds.join(shared, "seed"), "seeds")
+    drop_scratch(shared)
     firsts = cut_lineage(hits.where("doc_id = first_id").groupBy("seed").agg(F.array_sort(F.collect_set("at")).alias("places")), "first-seeds")
     links = (hits.where("doc_id > first_id").join(firsts, "seed")
              .select("doc_id", "first_id", "at", F.expr("element_at(places, nth % size(places) + 1)").alias("first_at"), F.lit(False).alias("key")))
@@ -344,9 +346,11 @@ def shared_passages(documents: DataFrame, seed_partitions: int | None = None) ->
     keys = cut_lineage(keys, "keys")
     owners = (keys.where("once").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min_by("at", "doc_id").alias("first_at"), F.max("doc_id").alias("last_id"))
               .where("first_id < last_id").drop("last_id"))
-    links = links.union(keys.drop("once").join(cut_lineage(owners, "key-owners"), "key").where("doc_id > first_id")
+    owners = cut_lineage(owners, "key-owners")
+    links = links.union(keys.drop("once").join(owners, "key").where("doc_id > first_id")
                         .select("doc_id", "first_id", "at", "first_at", F.lit(True)))
     found = cut_lineage(links.repartition("doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "at").mapInArrow(_chained, _CHAIN), "chains")
+    drop_scratch(hits, firsts, keys, owners)
     wanted = (found.select(F.col("doc_id").alias("__doc"), "lo", "hi")
               .union(found.select("first_id", "first_lo", "first_hi")).distinct()
               .groupBy("__doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__wanted")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (chat, fill_in_middle, filter_audit, fingerprints, jaccard_forest, mixing, packing, passages, quality_mil, quality_rules, secret_scan,
                suffix_dedup, toxicity)
@@ -53,7 +53,8 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.repeated_strings(_table(spark, folder, "documents"))
+    rows = suffix_dedup.repeated_strings(_table(spark, folder, "documents"), cut_text=True)
+    return rows.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

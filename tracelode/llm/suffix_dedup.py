@@ -289,6 +289,7 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     anchors = known.select("k", "t", "text").mapInArrow(_anchors(length, gram), "gram bigint, kind bigint, k bigint, t bigint, at bigint")
     often = (anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("kind").alias("a"), F.max("kind").alias("b")).where("n > 1")
              .select("gram", (F.col("a") == F.col("b")).alias("alike")))
+    often = cut_lineage(often, "often")  # a table, so that the anchors of a hot gram can be split in the join
     members = cut_lineage(anchors.join(often, "gram"), "anchors")
     kinds = members.groupBy("gram", "kind", "alike").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at")).alias("place"))
     kinds = cut_lineage(kinds.select("gram", "kind", "alike", "n", "place.*"), "kinds")
