@@ -100,3 +100,20 @@ def stream_alert(t):
                           available_now=True).awaitTermination()
     rows = t.spark.read.parquet(f"{base}/out")
     return rows.select("alert", "level", "event_type", stamp("time"), "errors", "event_type_id", "channel")
+
+
+WHOLE_ALERT_SQL = STREAM_SQL + """, fired AS (SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS errors FROM stream
+    WHERE level IN ('Error', 'warn') GROUP BY 1, 2 HAVING count(*) > 2),
+spoken AS (SELECT min(time) AS time FROM fired
+  UNION ALL SELECT (SELECT min(time) FROM fired f WHERE f.time >= s.time + INTERVAL '5 hours') FROM spoken s WHERE s.time IS NOT NULL)"""
+
+
+@query("stream_alert_drained", f"""SELECT 'Errors' AS alert, 'Error' AS level, event_type, {stamp_sql("time")} AS time, errors, 2716299265 AS event_type_id, 'mail' AS channel
+    FROM fired WHERE time IN (SELECT time FROM spoken WHERE time IS NOT NULL)""", "RECURSIVE " + WHOLE_ALERT_SQL)
+def stream_alert_drained(t):
+    """All notifications of the ended stream, those of the windows that its watermark never passed too."""
+    stock, base = catalogue(), scratch_path(t.spark, "alert")
+    alert = Alert("Errors", "1h", F.col("errors") > 2, {"errors": a.count_all()}, signal=stock["Errors"] | stock["Warnings"],
+                  group_by={"event_type": F.col("event_type")}, suppression="5 hours", channels=("mail",))
+    rows = alerting.drain_alert(_live(t, lambda x: x.stream), t.stream, alert, f"{base}/out", f"{base}/state", f"{base}/checkpoint")
+    return rows.select("alert", "level", "event_type", stamp("time"), "errors", "event_type_id", "channel")
