@@ -14,7 +14,7 @@ from ..functions.values import prop
 from ..operators.alerts import Alert
 from ..operators.signals import catalogue
 from ..session import scratch_path
-from ..streaming import alerting, framing, ingestion, live
+from ..streaming import alerting, dedupe, framing, ingestion, live
 from .benchmark_queries import stamp, stamp_sql
 from .ingest_queries import LOG_SQL, RECORD_START
 from .registry import query
@@ -58,6 +58,18 @@ def stream_dedupe(t):
     return _drained(t, live.dedupe_stream(twice, "40 days"), "dedupe").select("id", "event_type")
 
 
+@query("stream_dedupe_dates", f"""SELECT id, event_type, {stamp_sql("ts")} AS ts FROM stream""", STREAM_SQL)
+def stream_dedupe_dates(t):
+    """Every event is delivered in order of time and, after all of them, once more: repeats are up to the whole table's span late."""
+    base = scratch_path(t.spark, "dedupe-dates")
+    events = t.stream.select("id", "ts", "event_type")
+    events.repartitionByRange(4, "ts").write.parquet(f"{base}/in/first")
+    events.repartitionByRange(4, "ts").write.parquet(f"{base}/in/second")
+    delivered = (t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+    dedupe.dedupe_to_table(delivered, f"{base}/out", f"{base}/state", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("id", "event_type", stamp("ts"))
+
+
 @query("stream_ingest", """SELECT json_extract_string(json('{"n":' || event_id || '}'), '$.n')::BIGINT AS n, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS ts,
     'Information' AS level, NULL AS reason FROM events WHERE event_type = 'click'
     UNION ALL SELECT NULL, NULL, NULL, CASE event_type WHEN 'view' THEN 'no time' WHEN 'error' THEN 'not JSON'

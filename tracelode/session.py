@@ -89,6 +89,18 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder of a shared file system holds; none if it is absent."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def move_folder(spark: SparkSession, old: str, new: str) -> bool:
     """Puts a folder in the place of another one. False, and nothing there any more, if the old one is absent."""
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
