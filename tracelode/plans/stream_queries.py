@@ -14,7 +14,7 @@ from ..functions.values import prop
 from ..operators.alerts import Alert
 from ..operators.signals import catalogue
 from ..session import scratch_path
-from ..streaming import alerting, dedupe, framing, ingestion, live
+from ..streaming import alerting, dedupe, delivery, framing, ingestion, live
 from .benchmark_queries import stamp, stamp_sql
 from .ingest_queries import LOG_SQL, RECORD_START
 from .registry import query
@@ -70,6 +70,25 @@ def stream_dedupe_dates(t):
     return t.spark.read.parquet(f"{base}/out").select("id", "event_type", stamp("ts"))
 
 
+@query("subscribe_outcomes", """SELECT id, CASE WHEN value > 10 THEN 2 ELSE 1 END AS attempts, CASE WHEN value > 50 THEN 'ValueError: ' || id END AS error
+    FROM stream WHERE level IN ('Error', 'warn')""", STREAM_SQL)
+def subscribe_outcomes(t):
+    """The ledger of a handler that fails on values above 10, and of a second round where it fails above 50 only."""
+    def handler(limit):
+        def handle(event):
+            if event["value"] is not None and event["value"] > limit:
+                raise ValueError(event["id"])
+        return handle
+
+    stock, base = catalogue(), scratch_path(t.spark, "subscribe")
+    events = _live(t, lambda x: x.stream).select("id", "ts", "level", "value")
+    for _ in range(2):  # the second start finds every event delivered
+        delivery.deliver(events, handler(10), f"{base}/ledger", f"{base}/checkpoint", stock["Errors"] | stock["Warnings"], chunks=2, available_now=True).awaitTermination()
+    delivery.redeliver(t.spark, f"{base}/ledger", handler(50), "id string, ts timestamp, level string, value double")
+    rows = delivery.outcomes(t.spark, f"{base}/ledger")
+    return rows.where("batch < 0 or error is null").select("id", "attempts", "error")
+
+
 @query("stream_ingest", """SELECT json_extract_string(json('{"n":' || event_id || '}'), '$.n')::BIGINT AS n, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS ts,
     'Information' AS level, NULL AS reason FROM events WHERE event_type = 'click'
     UNION ALL SELECT NULL, NULL, NULL, CASE event_type WHEN 'view' THEN 'no time' WHEN 'error' THEN 'not JSON'
