@@ -89,24 +89,46 @@ def value_paths(value, at: str = "") -> set[str]:
 
 
 def registry(mappings: Iterable[Mapping] = MAPPINGS) -> dict[str, Mapping]:
-    return {fingerprint(m.paths): m for m in mappings}
+    """Mappings by fingerprint. A list without items has no item paths, so a layout with a list has a second fingerprint."""
+    mappings = list(mappings)
+    bare = {fingerprint(p for p in m.paths if "[]" not in p): m for m in reversed(mappings) if m.items}
+    return bare | {fingerprint(m.paths): m for m in mappings}
+
+
+class Layouts:
+    """Finds the mapping of a table's or a record's own paths by their fingerprint.
+
+    Paths that no mapping names aren't part of a layout. Paths of several layouts at once, whose fingerprint
+    is unknown, are taken as the largest known layout among them.
+    """
+
+    def __init__(self, mappings: Iterable[Mapping] = MAPPINGS):
+        self.mappings = tuple(mappings)
+        self.known = registry(self.mappings)
+        self.paths = {p for m in self.mappings for p in m.paths}
+
+    def find(self, paths: Iterable[str]) -> tuple[str, Mapping | None]:
+        """(fingerprint, mapping); the mapping is None if the layout is unknown."""
+        own = self.paths.intersection(paths)
+        layout = fingerprint(own)
+        if layout not in self.known:
+            held = [m for m in self.mappings if own.issuperset(m.paths)]
+            return layout, max(held, key=lambda m: len(m.paths), default=None)
+        return layout, self.known[layout]
 
 
 def turns_of_table(records: DataFrame, mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text) of a table of one layout, by column expressions.
 
-    Columns that no mapping names are not part of the layout. Null roles and texts are empty; a null list has
+    The fingerprint of the table's own paths selects the mapping. Columns that no mapping names, and those whose
+    name occurs twice, are not part of the layout. Null roles and texts are empty; a null list has
     no turns. Turns of lists and fields are numbered from 0. An unknown layout is an error.
     """
-    named = {p.split(".")[0].split("[")[0] for m in mappings for p in m.paths}
     names = {c: [f for f in records.schema if f.name == c] for c in records.columns}
-    known = [c for c in records.columns if c in named and len(names[c]) == 1]
-    # The largest known layout that the table's columns hold.
-    paths = set(schema_paths(StructType([names[c][0] for c in known])))
-    fits = [m for m in mappings if set(m.paths) <= paths]
-    if not fits:
-        raise ValueError(f"no mapping for the layout {fingerprint(paths)}: {sorted(paths)}")
-    m = registry(mappings)[fingerprint(max(fits, key=lambda m: len(m.paths)).paths)]
+    paths = schema_paths(StructType([fields[0] for fields in names.values() if len(fields) == 1]))
+    layout, m = Layouts(mappings).find(paths)
+    if m is None:
+        raise ValueError(f"no mapping for the layout {layout}: {sorted(paths)}")
 
     def text(c):
         return F.coalesce(c.cast("string"), F.lit(""))
@@ -147,10 +169,10 @@ def record_turns(record: dict, m: Mapping) -> list[tuple[int, str, str]]:
 def turns_of_json(records: DataFrame, column: str, mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text, layout) of JSON records of any mix of layouts, each recognised by itself.
 
-    ``layout`` is the fingerprint. A record that is no object, has an unknown layout or doesn't keep to its
+    ``layout`` is the fingerprint. Fields that no mapping names are left out; an empty or null list has no turns. A record that is no object, has an unknown layout or doesn't keep to its
     mapping gives one row with null turn, role and text, so nothing is lost unseen.
     """
-    known = registry(mappings)
+    layouts = Layouts(mappings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +181,11 @@ def turns_of_json(records: DataFrame, column: str, mappings: Iterable[Mapping] =
                 conv, layout = None, None
                 try:
                     record = json.loads(raw)
-                    layout = fingerprint(value_paths(record))
+                    layout, mapping = layouts.find(value_paths(record))
                     conv = int(record["conv_id"])
-                    out += [(conv, *t, layout) for t in record_turns(record, known[layout])]
+                    if mapping is None:
+                        raise ValueError(layout)
+                    out += [(conv, *t, layout) for t in record_turns(record, mapping)]
                 except (TypeError, ValueError, KeyError):
                     out.append((conv, None, None, None, layout))
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())

@@ -2,8 +2,9 @@
 
 Words become symbols: insult, threat, target, negation, report, other. Four transducers are composed into
 one: the first finds what is directed at a target, the second what is negated, the third what is
-reported speech, the last weighs what comes out. The machine runs over every clause that has an insult or
-a threat; a match counts by the weight of its word and what the grammar makes of it, so a word alone, a
+reported speech, the last weighs what comes out. The machine runs over every sentence that has an insult or
+a threat. A comma or colon ends what is directed and denied, but not what is reported: it may introduce
+speech, and a short part with a report after it reports what came before; a match counts by the weight of its word and what the grammar makes of it, so a word alone, a
 denied or a quoted one, and one thrown at somebody count differently.
 
 Words of insult are learned from labels: whole words and stems that toxic documents of the sample have
@@ -41,12 +42,14 @@ TARGETS = ("you", "your", "he", "she", "they", "him", "her", "them", "these", "t
 NEGATIONS = ("not", "no", "never", "isn't", "aren't", "don't", "nicht", "kein", "keine", "pas", "jamais", "nunca", "jamás")
 REPORTS = ("said", "says", "called", "wrote", "claimed", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, MARK = "insult", "threat", "target", "negation", "report", "other", "mark"
 _CLASSES = ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
 _BREAK = np.zeros(256, bool)
 _BREAK[[c for c in range(128) if not (chr(c).isalnum() or chr(c) == "'")]] = True
 _CLAUSE = np.zeros(256, bool)
-_CLAUSE[list(b".,;:!?\n")] = True
+_CLAUSE[list(b".;!?\n")] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b",:")] = True
 
 
 @dataclass(frozen=True)
@@ -96,8 +99,10 @@ def grammar() -> Transducer:
         for kind in (INSULT, THREAT):
             aimed[-k, kind] = ((kind, "open"), 1.0, -NEAR)
         after[-k] = -k + 1
+    aimed |= {(k, MARK): (MARK, 1.0, 0) for k in range(-NEAR, NEAR + 1)}
     matches = [(kind, way) for kind in (INSULT, THREAT) for way in ("aimed", "open")]
     denied = {(k, NEGATION): (NEGATION, 1.0, NEAR) for k in near}
+    denied |= {(k, MARK): (MARK, 1.0, 0) for k in near}
     denied |= {(k, m): ((*m, "denied"), 1.0, k - 1) for k in near if k for m in matches}
     reported = {(0, REPORT): (REPORT, 1.0, 1)} | {(1, m): ((*m, "reported"), 1.0, 1) for m in matches}
     weights = {(INSULT, "aimed"): 1.5, (INSULT, "open"): 1.0, (THREAT, "aimed"): 1.0, (THREAT, "open"): 0.0, "late target": 0.5}
@@ -107,10 +112,31 @@ def grammar() -> Transducer:
     return first.then(Transducer(denied, {k: max(0, k - 1) for k in near})).then(Transducer(reported)).then(Transducer(weighed))
 
 
+def reports_first(symbols: list[str], weights: list[float]) -> tuple[list[str], list[float]]:
+    """The symbols with a report before each part that a short part with a report follows, read from the right."""
+    out, weighed, part, short = [], [], 0, False
+    for k in range(len(symbols) - 1, -1, -1):
+        if symbols[k] == MARK:
+            if short:
+                out.append(REPORT)
+                weighed.append(0.0)
+            short = part <= NEAR and REPORT in symbols[k + 1:k + 1 + part]
+            part = -1
+        out.append(symbols[k])
+        weighed.append(weights[k])
+        part += 1
+    if short:
+        out.append(REPORT)
+        weighed.append(0.0)
+    return out[::-1], weighed[::-1]
+
+
 def clause_score(symbols: list[str], weights: list[float]) -> float:
     """The sum over matches of what the grammar gives times the word's weight; a target that comes after its
     insult adds to the last match."""
     machine, state, total, last = grammar(), 0, 0.0, 0.0
+    if MARK in symbols and REPORT in symbols:
+        symbols, weights = reports_first(symbols, weights)
     for symbol, weight in zip(symbols, weights):
         out, factor, state = machine.step(state, symbol)
         if out == "match":
@@ -163,7 +189,7 @@ def _forms(words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text: sum, greatest and number of matching clauses, and matches for each hundred words."""
+    """Per text: sum, greatest and number of matching sentences, and matches for each hundred words."""
     block, words = _words(texts)
     n = len(block)
     weight = np.zeros(len(words.starts))
@@ -174,6 +200,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         weight[at[hit]] = np.maximum(weight[at[hit]], found[hit])
     symbol = np.where(weight > 0, 0, 5)
     names = [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER]
+    soft = np.concatenate([[0], np.cumsum(_MARK[block.data])])
     for name, list_ in _CLASSES:
         known = Lexicon(np.sort(_hash(list_)), np.ones(len(list_)))
         symbol[(known.look_up(forms[0][0]) > 0) & (weight == 0)] = names.index(name)
@@ -187,7 +214,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((n, 4))
     for c in np.unique(clause[symbol <= 1]):
         lo, hi = starts[c], starts[c + 1]
-        score = clause_score([names[s] for s in symbol[lo:hi]], weight[lo:hi].tolist())
+        score = clause_score(*_with_marks([names[s] for s in symbol[lo:hi]], weight[lo:hi].tolist(), soft[words.starts[lo:hi]].tolist()))
         if score > 0:
             row = out[text[lo]]
             row += (score, 0, 1, 0)
@@ -196,6 +223,20 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.column_stack([np.log1p(out[:, 0]), out[:, 1], np.log1p(out[:, 2]), np.minimum(out[:, 3], 10)])
 
 
+def _with_marks(symbols: list[str], weights: list[float], marks: list[int]) -> tuple[list[str], list[float]]:
+    """A mark between words that a comma or colon parts; ``marks`` counts them up to each word."""
+    if marks[0] == marks[-1]:
+        return symbols, weights
+    out, weighed = [], []
+    for k, symbol in enumerate(symbols):
+        if k and marks[k] != marks[k - 1]:
+            out.append(MARK)
+            weighed.append(0.0)
+        out.append(symbol)
+        weighed.append(weights[k])
+    return out, weighed
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(form, half, toxic, clean): documents of each half of the sample that have a word or stem."""
     for batch in batches:
@@ -249,7 +290,9 @@ class Model:
 
 def train(documents: DataFrame, labels: DataFrame, label: str, usable, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Without labelled documents the score is one half for a text without matches, and more with them."""
-    sample = training_sample(documents, labels, label, usable, sample_rows).dropDuplicates(["label", "text"]).withColumn("half", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).cast("int"))
+    sample = training_sample(documents, labels, label, usable, sample_rows)
+    # Of equal texts the least id counts: it decides the half, so reruns agree.
+    sample = sample.groupBy("label", "text").agg(F.min("doc_id").alias("doc_id")).withColumn("half", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).cast("int"))
     sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     counted = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_counted, "form bigint, t0 bigint, c0 bigint, t1 bigint, c1 bigint")
     sums = counted.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1"))).where("t0 + t1 >= 2 and (t0 + t1) * 2 > c0 + c1")
