@@ -205,6 +205,42 @@ def test_downscaling_matches_building(spark):
     assert [b["midpoint"] for b in small.buckets] == pytest.approx([b["midpoint"] for b in direct.buckets])
 
 
+def test_merged_exp_histograms_equal_that_of_the_values(spark):
+    random.seed(3)
+    rows = [(k, part, random.lognormvariate(0, spread)) for k, spread in (("wide", 6.0), ("narrow", 0.001), (None, 1.0))
+            for part in range(7) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, part int, v double")
+    parts = m.build_exp_histogram(df.where("part < 3"), F.col("v"), ["k", "part"], scale=14)
+    parts = parts.unionByName(m.build_exp_histogram(df.where("part >= 3"), F.col("v"), ["k", "part"], scale=9, target_buckets=40))
+    parts = parts.unionByName(parts.limit(1).select(
+        F.lit("none").alias("k"), F.lit(0).alias("part"), F.lit(None).cast(parts.schema["histogram"].dataType).alias("histogram"), F.lit(1.0).alias("sum")))
+    # The narrow group stays at its lowest scale, the wide one falls under those of its parts.
+    lowest = {r.k: r.s for r in parts.groupBy("k").agg(F.min("histogram.scale").alias("s")).collect()}
+    merged = {r.k: r for r in m.merge_exp_histograms(parts, total=F.col("sum"), keys="k").collect()}
+    assert set(merged) == {"wide", "narrow", None}
+    for key, row in merged.items():
+        values = [v for k, _, v in rows if k == key]
+        h, at = row.histogram, row.histogram.scale
+        assert at <= lowest[key] and len(h.buckets) <= 160
+
+        def counts(scale):
+            out = {}
+            for v in values:
+                i = math.ceil(math.log2(v) * 2.0 ** scale)
+                out[i] = out.get(i, 0) + 1
+            return out
+
+        assert [b["count"] for b in h.buckets] == [n for _, n in sorted(counts(at).items())]
+        assert at == lowest[key] or len(counts(at + 1)) > 160
+        assert (h.min, h.max, h["count"]) == (min(values), max(values), len(values)) and row.sum == pytest.approx(sum(values))
+    one = m.merge_exp_histograms(parts).first()
+    assert one.histogram["count"] == len(rows) and one.sum is None
+    # Merges of merges give the same.
+    twice = m.merge_exp_histograms(m.merge_exp_histograms(parts, total=F.col("sum"), keys=["k", "part"]), total=F.col("sum"), keys="k")
+    assert {r.k: r.histogram for r in twice.collect()} == {k: r.histogram for k, r in merged.items()}
+    assert m.merge_exp_histograms(parts.limit(0), keys="k").count() == 0
+
+
 def spans(spark, rows):
     return spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string")
 

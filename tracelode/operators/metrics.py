@@ -171,7 +171,11 @@ def build_exp_histogram(df: DataFrame, value: Column, keys=None, every=None, sca
                .where(F.col("_v") > 0)
                .groupBy(*names, _index(F.col("_v"), scale).alias("_i"))
                .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_v").alias("_sum")))
-    rebucketed = _coarsened(counted, names, scale, target_buckets)
+    return _collected(_coarsened(counted, names, scale, target_buckets), names)
+
+
+def _collected(rebucketed: DataFrame, names: list[str]) -> DataFrame:
+    """One histogram for the buckets of each group, which all have its scale."""
     midpoint = _midpoint(F.col("_i"), F.col("_scale"))
     result = rebucketed.groupBy(*names, "_scale").agg(
         F.array_sort(F.collect_list(F.struct(midpoint.alias("midpoint"), F.col("_n").alias("count")))).alias("_buckets"),
@@ -187,7 +191,7 @@ def _coarser(index: Column, steps) -> Column:
     return F.ceil(index / F.pow(F.lit(2.0), steps)).cast("bigint")
 
 
-def _coarsened(counted: DataFrame, names: list[str], scale: int, target: int) -> DataFrame:
+def _coarsened(counted: DataFrame, names: list[str], scale: int | Column, target: int) -> DataFrame:
     """Counted buckets at the highest scale that keeps each group within ``target`` buckets."""
     # At scale -11 one bucket spans the whole range of a double on either side of 1. A group needs fewer
     # tries: a step at most halves its buckets, and buckets never outnumber the indices they lie between.
@@ -237,6 +241,35 @@ def downscale_exp_histogram(df: DataFrame, histogram: str = "histogram", target_
     return staged.withColumn(histogram, shaped).drop("_k", "_entries")
 
 
+def merge_exp_histograms(df: DataFrame, histogram: str = "histogram", total: Column | None = None, keys=None, every=None,
+                         target_buckets: int = TARGET_BUCKETS, ts: str = "ts", start=None) -> DataFrame:
+    """Exponential histograms of any scales to one per key and slice: keys, ``time``, ``histogram``, ``sum``.
+
+    The lowest scale of a group wins, and falls further until no more than ``target_buckets`` remain. Buckets of a
+    scale lie within those of every lower one, so the result is the histogram of the raw values themselves, whatever
+    the order and the grouping of the merges. Counts add up per bucket of their own scale before anything is
+    joined; the rows that meet a group's scale are its distinct buckets, not its histograms. ``total`` is the
+    sum of a histogram's values. Histograms that are null or have no buckets add nothing; a group of only such has no row.
+    """
+    groups = {**_named(keys), **({"time": slice_start(F.col(ts), every, start)} if every is not None else {})}
+    groups = groups or {"_all": F.lit(0)}
+    names = list(groups)
+    held = F.col(histogram)
+    cells = df.select(*[c.alias(n) for n, c in groups.items()], held["scale"].alias("_s"), held["min"].alias("_low"), held["max"].alias("_high"),
+                      (F.lit(None) if total is None else total).cast("double").alias("_sum"), F.posexplode(held["buckets"]).alias("_at", "_b"))
+    # A midpoint lies strictly inside its bucket, so its own index is that of the bucket.
+    index = F.ceil(F.log2(F.col("_b.midpoint")) * F.pow(F.lit(2.0), F.col("_s"))).cast("bigint")
+    sums = {"_n": F.sum("_n"), "_low": F.min("_low"), "_high": F.max("_high"), "_sum": F.sum("_sum")}
+    counted = (cells.select(*names, "_s", index.alias("_i"), F.col("_b.count").alias("_n"), "_low", "_high",
+                            F.when(F.col("_at") == 0, F.col("_sum")).alias("_sum"))
+               .groupBy(*names, "_s", "_i").agg(*[c.alias(n) for n, c in sums.items()]))
+    lowest = counted.groupBy(*names).agg(F.min("_s").alias("_base")).withColumnsRenamed({n: f"_g_{n}" for n in names})
+    aligned = (counted.join(lowest, [F.col(n).eqNullSafe(F.col(f"_g_{n}")) for n in names])
+               .groupBy(*names, "_base", _coarser(F.col("_i"), F.col("_s") - F.col("_base")).alias("_i"))
+               .agg(*[c.alias(n) for n, c in sums.items()]))
+    return _collected(_coarsened(aligned, [*names, "_base"], F.col("_base"), target_buckets), names)
+
+
 def sample_metrics(df: DataFrame, every="5 seconds", keys=None, counters: dict[str, Column] | None = None,
                    gauges: dict[str, Column] | None = None, histograms: dict[str, Column] | None = None,
                    ts: str = "ts", id: str = "id") -> DataFrame:

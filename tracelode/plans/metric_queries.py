@@ -142,6 +142,27 @@ def exp_histogram_scale(t):
                         F.col("histogram.count").alias("n"))
 
 
+# Days are built at scales 10 to 12 in turn and merged; the twin builds from the values themselves, from the lowest of these scales down.
+MERGED_SQL = STREAM_SQL + """, raw AS (SELECT event_type, value, CAST(ceil(log2(value) * 1024) AS BIGINT) AS i FROM stream WHERE value > 0),
+steps AS (SELECT unnest(generate_series(0, 21)) AS k),
+sizes AS (SELECT event_type, k, count(DISTINCT CAST(ceil(i / pow(2, k)) AS BIGINT)) AS size FROM raw, steps GROUP BY 1, 2),
+chosen AS (SELECT event_type, min(k) AS k FROM sizes WHERE size <= 160 GROUP BY 1)"""
+
+
+@query("merge_exp_histograms", """SELECT event_type, CAST(10 - k AS INTEGER) AS scale, round((pow(2, (j - 1) * pow(2, k - 10)) + pow(2, j * pow(2, k - 10))) / 2, 6) AS midpoint, n AS count,
+    min(low) OVER w AS low, max(high) OVER w AS high, CAST(sum(n) OVER w AS BIGINT) AS n, round(sum(total) OVER w, 4) AS total
+    FROM (SELECT event_type, k, CAST(ceil(i / pow(2, k)) AS BIGINT) AS j, count(*) AS n, min(value) AS low, max(value) AS high, sum(value) AS total
+      FROM raw JOIN chosen USING (event_type) GROUP BY ALL) WINDOW w AS (PARTITION BY event_type)""", MERGED_SQL)
+def merge_exp_histograms(t):
+    turn = F.datediff("ts", F.lit("1970-01-01")) % 3
+    days = [m.build_exp_histogram(t.stream.where(turn == i), F.col("value"), "event_type", "1d", scale=10 + i) for i in range(3)]
+    merged = m.merge_exp_histograms(days[0].unionByName(days[1]).unionByName(days[2]), total=F.col("sum"), keys="event_type")
+    h = F.col("histogram")
+    rows = merged.select("event_type", h["scale"].alias("scale"), h["min"].alias("low"), h["max"].alias("high"), h["count"].alias("n"),
+                         F.round("sum", 4).alias("total"), F.explode("histogram.buckets").alias("b"))
+    return rows.select("event_type", "scale", F.round("b.midpoint", 6).alias("midpoint"), F.col("b.count").alias("count"), "low", "high", "n", "total")
+
+
 @query("downscale_exp_histogram", f"""SELECT event_type, CAST(3 - k AS INTEGER) AS scale, round((pow(2, (j - 1) * pow(2, k - 3)) + pow(2, j * pow(2, k - 3))) / 2, 6) AS midpoint, sum(n)::BIGINT AS count
     FROM (SELECT event_type, k, CAST(ceil(i / pow(2, k)) AS BIGINT) AS j, n FROM totals JOIN (SELECT event_type, min(k) AS k FROM (
       SELECT event_type, k, count(DISTINCT CAST(ceil(i / pow(2, k)) AS BIGINT)) AS size FROM totals, (SELECT unnest(generate_series(0, 14)) AS k) GROUP BY 1, 2) WHERE size <= 20 GROUP BY 1)
