@@ -270,6 +270,18 @@ def test_unnest_drops_rows_without_elements(spark):
     assert sorted(tuple(r) for r in joins.lateral_unnest(df, "items", "x").select("id", "x").collect()) == [(1, 1), (1, 2)]
 
 
+def test_elements_of_rows_brought_together_are_counted_in_place(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_BYTES", 16)
+    df = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, "b b b b b b b b"), (None, "a"), (None, "a"), (3, None)], "id int, text string")
+    words = joins.lateral_unnest(joins.brought_together(df, "id", "text"), F.split("text", " "), "word")
+    counts = words.groupBy("id", "word").count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(id" in plan
+    assert {tuple(r) for r in counts.collect()} == {(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "b", 8), (None, "a", 2)}
+    assert joins.brought_together(df, "id", "text").rdd.getNumPartitions() == 2
+    assert joins.brought_together(df.limit(0), "id", "text").count() == 0
+
+
 def test_deletion_from_a_table(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = [(i * 480, "web" if i % 2 else "db", float(i)) for i in range(12)]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 TRACE_KEYS = ("trace_id", "span_id")
+#: Bytes that :func:`brought_together` aims at in a partition: what is unnested from them fits a task's memory.
+PART_BYTES = 8 << 20
 
 
 def lateral_unnest(df: DataFrame, array: str | Column, alias: str) -> DataFrame:
@@ -17,6 +19,16 @@ def lateral_unnest(df: DataFrame, array: str | Column, alias: str) -> DataFrame:
     return df.withColumn(alias, F.explode(F.col(array) if isinstance(array, str) else array))
 
 
+def brought_together(df: DataFrame, key: str, unnested: str) -> DataFrame:
+    """``df`` dealt by ``key`` to partitions of about :data:`PART_BYTES` of the text column ``unnested``.
+
+    Elements that are unnested from it and grouped by the key and more are counted where they are: the texts are
+    shuffled once and the elements, which take several times their size, are not. Rows of one key share a partition.
+    """
+    size = df.agg(F.sum(F.octet_length(unnested))).first()[0] or 0
+    return df.repartition(int(size // PART_BYTES) + 1, key)
+
+
 def one_per_span(spans: DataFrame, columns: tuple[str, ...], prefix: str = "") -> DataFrame:
     """(trace_id, span_id) and columns of the latest row of each span; ties go to the greatest values."""
     latest = [c for c in ("ts", "id") if c in spans.columns]

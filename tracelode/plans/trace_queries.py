@@ -23,7 +23,8 @@ def lateral_unnest(t):
 @query("lateral_unnest_words", """SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(line, ' ')) AS word
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1, 2""")
 def lateral_unnest_words(t):
-    lines = joins.lateral_unnest(t.table("documents").select("doc_id", "text"), F.split("text", "\n"), "line")
+    documents = joins.brought_together(t.table("documents").select("doc_id", "text"), "doc_id", "text")
+    lines = joins.lateral_unnest(documents, F.split("text", "\n"), "line")
     words = joins.lateral_unnest(lines, F.split("line", " "), "word")
     return q.group_by(words, ["doc_id", "word"], {"n": count_all()})
 
