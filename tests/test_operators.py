@@ -256,6 +256,24 @@ def test_deep_tree_cycles_and_missing_parents(spark):
     assert got[("v", "x")] == (0, "x") and got[("v", "y")] == (1, "x/y") and got[("t2", "s1")] == (0, "s1")
 
 
+def test_spans_without_children_stay_out_of_the_rounds(spark, monkeypatch):
+    rows = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(9)] + [("t", f"leaf{i}", f"s{i % 9}") for i in range(90)]
+    rows += [("t", "alone", None), ("t", "lost", "gone"), ("u", "a", "b"), ("u", "b", "a"), ("u", "leaf", "a"), ("t", "leaf0", "s0"), (None, "x", None)]
+    written, cut = [], tracing.cut_lineage
+    def counted(df, label="step"):
+        table = cut(df, label)
+        written.append((label, table.count()))
+        return table
+    monkeypatch.setattr(tracing, "cut_lineage", counted)
+    got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in tracing.trace_tree(spans(spark, rows)).collect()}
+    way = lambda i: "/".join(f"s{j}" for j in range(i + 1))
+    assert len(got) == 105 and all(got[("t", f"leaf{i}")] == (i % 9 + 1, f"{way(i % 9)}/leaf{i}") for i in range(90))
+    assert got[("t", "alone")] == (0, "alone") and got[("t", "lost")] == (0, "lost") and got[(None, "x")] == (0, "x")
+    assert got[("u", "leaf")] == got[("u", "a")] == (None, None) and got[("t", "s8")] == (8, way(8))
+    rounds = [n for label, n in written if label == "trace-tree"]
+    assert 0 < len(rounds) <= 6 and max(rounds) <= 11
+
+
 def test_span_joins(spark):
     df = spans(spark, [("t", "a", None), ("t", "b", "a"), ("t", "c", "zz"), ("u", "b", "a")]).withColumns(
         {"service": F.col("span_id"), "message": F.lit("m"), "start": F.lit(None).cast("timestamp")})

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import round_to
 from ..functions.times import to_iso_string
-from ..session import cut_lineage
-from .joins import TRACE_KEYS, one_per_span
+from ..session import cut_lineage, drop_scratch
+from .joins import TRACE_KEYS, one_per_span, span_key
 from .query import group_by
 
+#: Column of :func:`span_key` within the rounds of :func:`trace_tree`.
+KEY = "_key"
+
 
 def with_elapsed(df: DataFrame) -> DataFrame:
     """Adds ``elapsed_us``; undefined for log events."""
@@ -30,18 +33,28 @@ def trace_tree(spans: DataFrame, path_column: str = "span_id") -> DataFrame:
     """Depth and path of every span, for all traces at once.
 
     Pointer doubling: each round every unfinished span jumps over its ancestor's ancestor, so a
-    chain of depth d takes log2(d) joins. Each round is written to the shared folder, and only
-    spans that still move are written again; the driver sees one count per round. Spans below a
-    missing parent start at depth 0 there; spans in a cycle are returned without depth. A span that is
-    stored repeatedly is one node.
+    chain of depth d takes log2(d) joins. Only spans that others name as their parent take part in the
+    rounds; the others, mostly the bulk, look up their parent's way once when it is known. Each round is written to
+    the shared folder, and only spans that still move are written again; the driver sees one count per
+    round. Spans below a missing parent start at depth 0 there; spans in a cycle are returned without
+    depth. A span that is stored repeatedly is one node.
     """
     columns = tuple(dict.fromkeys(c for c in ("parent_id", path_column) if c not in TRACE_KEYS))
-    nodes = one_per_span(spans, columns).select(
-        "trace_id", "span_id", F.col("parent_id").alias("_up"), F.lit(0).alias("depth"), F.array(F.col(path_column).cast("string")).alias("_path"))
+    used = [c for c in dict.fromkeys((*TRACE_KEYS, "ts", "id", *columns)) if c in spans.columns]
+    rows = cut_lineage(spans.select(*used), "trace-spans")
+    named = rows.where("parent_id is not null").select(
+        span_key("trace_id", "parent_id").alias("_k"), F.col("trace_id").alias("_t"), F.col("parent_id").alias("_s")).distinct()
+    latest = one_per_span(rows, columns, key=KEY)
+    own = [] if path_column in TRACE_KEYS else [F.col(path_column).cast("string").alias("_own")]
+    nodes = cut_lineage(latest.join(named, (F.col(KEY) == F.col("_k")) & (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_s")), "left")
+                        .select("trace_id", "span_id", F.col("parent_id").alias("_up"), F.col("_s").isNotNull().alias("_named"), *own), "trace-nodes")
+    nodes = nodes.select(span_key().alias(KEY), "trace_id", "span_id", "_up", F.lit(0).alias("depth"),
+                         F.array(F.col("_own" if own else path_column).cast("string")).alias("_path"), "_named")
+    drop_scratch(rows)
     roots = F.col("_up").isNull()
-    # Roots stay out of the join: their missing key would send them all to one task.
-    state = cut_lineage(_jump(nodes.where(~roots), nodes).unionByName(nodes.where(roots)), "trace-tree")
-    moving, arrived = state.where(~roots), state.where(roots)
+    inner, outer = nodes.where("_named").drop("_named"), nodes.where("not _named").drop("_named")
+    # Roots stay out of the joins: their missing key would send them all to one task.
+    moving, arrived = inner.where(~roots), inner.where(roots)
     pending = moving.count()
     while pending:
         jumped = cut_lineage(_jump(moving, moving.unionByName(arrived)), "trace-tree")
@@ -51,19 +64,20 @@ def trace_tree(spans: DataFrame, path_column: str = "span_id") -> DataFrame:
             # Any span with a way to its root would have let some span arrive: only cycles are left.
             break
         pending = left
-    return moving.unionByName(arrived).select(
+    ways = moving.unionByName(arrived)
+    return ways.unionByName(outer.where(roots)).unionByName(_jump(outer.where(~roots), ways)).select(
         "trace_id", "span_id", F.when(roots, F.col("depth")).alias("depth"),
         F.when(roots, F.array_join("_path", "/")).alias("path"))
 
 
 def _jump(moving: DataFrame, known: DataFrame) -> DataFrame:
     """Moves each pointer to where its target points; a pointer to a span that is absent ends there."""
-    target = known.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
+    target = known.select(F.col(KEY).alias("_k"), F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("_up").alias("_next"),
                           (F.col("depth") + 1).alias("_more"), F.col("_path").alias("_prefix"))
-    found = moving.join(target, (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s")), "left")
-    return found.select("trace_id", "span_id", F.col("_next").alias("_up"),
-                        (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
-                        F.when(F.col("_t").isNull(), F.col("_path")).otherwise(F.concat("_prefix", "_path")).alias("_path"))
+    on = (span_key("trace_id", "_up") == F.col("_k")) & (F.col("trace_id") == F.col("_t")) & (F.col("_up") == F.col("_s"))
+    return moving.join(target, on, "left").select(
+        KEY, "trace_id", "span_id", F.col("_next").alias("_up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"),
+        F.when(F.col("_t").isNull(), F.col("_path")).otherwise(F.concat("_prefix", "_path")).alias("_path"))
 
 
 def latency_by_service(spans: DataFrame, by="service", p: float = 95, min_count: int = 0, limit: int | None = None) -> DataFrame:
