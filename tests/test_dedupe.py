@@ -92,3 +92,12 @@ def test_filters_merge_and_never_deny_a_member(spark):
     assert dedupe.possible_repeats(ids, sizes, both).where("not _seen").count() == 0
     others = spark.range(5000, 10000).select(F.lit(DAY.date()).alias(DATE_COLUMN), F.col("id").cast("string").alias("id"))
     assert dedupe.possible_repeats(others, sizes, both).where("_seen").count() < 500
+
+
+def test_a_batch_of_one_file_is_compared_by_many_tasks(spark, tmp_path, monkeypatch):
+    seen, append = [], dedupe._append
+    monkeypatch.setattr(dedupe, "_append", lambda store, rows, n: seen.append(rows._jdf.queryExecution().executedPlan().toString()) or append(store, rows, n))
+    put(spark, tmp_path / "in", [(f"{i}", DAY, i) for i in range(50)] * 2 + [(None, DAY, 1)])
+    assert run(spark, tmp_path).count() == 51
+    plan = seen[0]  # rows are exchanged before they are first compared, read upwards
+    assert plan.rindex("REPARTITION_BY_COL") > plan.rindex("Aggregate")

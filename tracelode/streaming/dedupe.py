@@ -119,7 +119,8 @@ def _write(store: _Store, dated: DataFrame, n: int, kind: str, open_dates: int)
     late = [d for d in dates if since is not None and d < since]
     sizes, filters = store.table("sizes", SIZES, n), store.table("filters", FILTERS, n)
 
-    named = dated.where(F.col(id).isNotNull()).dropDuplicates([DATE_COLUMN, id])
+    # Dealt before they are compared: a batch of a few large files is a few tasks, which would sort all of its rows.
+    named = dated.where(F.col(id).isNotNull()).repartition(DATE_COLUMN, id).dropDuplicates([DATE_COLUMN, id])
     fresh = named.where(~_on(late)) if late else named
     fresh = fresh.join(store.ids([d for d in dates if d not in late], n, kind), [DATE_COLUMN, id], "left_anti")
     kept = fresh.unionByName(dated.where(F.col(id).isNull()))
