@@ -148,15 +148,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found, _, of = windows(words.hashes(), words.of, WORDS)
                 sets.extend(np.unique(found[x:y]) for x, y in zip(of[:-1], of[1:]))
             m, size = e - s, np.array([len(x) for x in sets])
-            every = np.concatenate(sets)
+            doc, every = np.repeat(np.arange(m, dtype=np.int32), size), np.concatenate(sets)
+            del sets  # a tile may hold hundreds of long texts: only what the next step needs stays
             order = np.argsort(every, kind="stable")
-            ranked = every[order]
-            new = np.ones(len(ranked), bool)
-            new[1:] = ranked[1:] != ranked[:-1]
-            number = np.cumsum(new) - 1
-            shared = np.bincount(number)[number] > 1  # what one text has alone adds to no intersection
-            doc, number = np.repeat(np.arange(m), size)[order][shared], number[shared]
-            number = np.unique(number, return_inverse=True)[1]
+            doc, every = doc[order], every[order]
+            del order
+            new = np.ones(len(every) + 1, bool)
+            new[1:-1] = every[1:] != every[:-1]
+            del every
+            shared = ~(new[:-1] & new[1:])  # what one text has alone adds to no intersection
+            doc, number = doc[shared], np.cumsum(new[:-1][shared], dtype=np.int32) - 1
+            del new, shared
             common = np.zeros((m, m), np.float32)
             for first in range(0, int(number.max()) + 1 if len(number) else 0, 4096):
                 lo, hi = np.searchsorted(number, [first, first + 4096])
