@@ -115,6 +115,32 @@ def test_repeated_lines(spark):
     assert {r.first_id for r in rows} == {0}
 
 
+def test_chains_of_repeated_lines(spark, monkeypatch):
+    made, write = {}, passages.cut_lineage
+
+    def counted(frame, label="step"):
+        out = write(frame, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "cut_lineage", counted)
+    for repeats in (150, 100, 11):  # of the first document; the others have 110 to 121
+        texts = [" ".join([*prose(820, 30).split(), *["Is", "onhe."] * repeats, *prose(821, 30).split()])]
+        texts += [" ".join([*prose(830 + i, 20 + i).split(), *["Is", "onhe."] * (110 + i), *prose(850 + i, 30).split()]) for i in range(12)]
+        rows = passages.shared_passages(docs(spark, texts)).collect()
+        assert spans(rows) == [(i + 1, 20 + i, 240 + 3 * i) for i in range(12)]
+        # A few diagonals a document if the first one has about as many; else no word is in more than two runs of 20 words or more.
+        assert made["chains"] <= 12 * (4 if repeats > 11 else 2 * 242 // 20), (repeats, made)
+
+
+def test_repeated_lines_that_differ_alike(spark):
+    line = prose(860, 30).split()
+    other = [*line[:20], *line[21:26], "x", *line[26:29], "y"]  # 23 of 30 words on the diagonal, 28 with two shifts
+    texts = [" ".join([*prose(861, 25).split(), *other * 12]), " ".join([*prose(862, 25).split(), *line * 12])]
+    rows = passages.shared_passages(docs(spark, texts)).collect()
+    assert len(rows) == 1 and rows[0].doc_id == 1 and rows[0].start <= 30 and rows[0].end >= 375 and rows[0].identity >= passages.IDENTITY
+
+
 def test_against_a_quadratic_finder(spark):
     r = random.Random(41)
     shared = [prose(900 + i, 55 + 5 * i).split() for i in range(6)]
